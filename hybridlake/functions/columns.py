@@ -47,7 +47,7 @@ def missing_to_null(text: Column) -> Column:
 
 def to_year(text: Column) -> Column:
     """``2021`` and ``2021.0`` both become 2021; anything else NULL."""
-    return F.expr("cast(null as int)") if text is None else text.try_cast("double").cast("int")
+    return text.try_cast("double").try_cast("int")
 
 
 def money(value: Column) -> Column:
