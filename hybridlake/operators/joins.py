@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 HOT_KEYS = 4096      # rows of the lookup that are broadcast: a bound by construction
 BLOCK_ROWS = 4096    # rows of one ordered block
@@ -15,16 +15,17 @@ def hot_key_join(
     hot: DataFrame,
     spread: list[str],
     how: str = "inner",
+    n_hot: int = HOT_KEYS,
 ) -> DataFrame:
     """Equi-join ``big`` to ``lookup`` (unique on ``key``) without a hot task.
 
-    ``hot`` names at most ``HOT_KEYS`` of the most frequent keys. Their lookup rows are broadcast, so
+    ``hot`` names the most frequent keys, of which at most ``n_hot`` are used. Their lookup rows are broadcast, so
     rows of ``big`` with a hot key are completed where they are. The other rows meet the rest of the
     lookup in an ordinary join; completed rows travel through it under a key of their own made from
     the ``spread`` columns, so that they spread evenly and match nothing. Every row is read once.
     """
     values = [c for c in lookup.columns if c != key]
-    hot = hot.select(key).limit(HOT_KEYS)
+    hot = hot.select(key).limit(n_hot)
     near = lookup.join(F.broadcast(hot), key, "left_semi").select(
         key, F.struct(*values).alias("_near")
     )
@@ -48,12 +49,11 @@ def hot_key_join(
     return joined.select(*big.columns, *[F.col("_found")[v].alias(v) for v in values])
 
 
-def most_frequent(df: DataFrame, key: str, weight: Column | None = None) -> DataFrame:
-    """The ``HOT_KEYS`` keys with most rows, counted with partial aggregation."""
-    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+def most_frequent(df: DataFrame, key: str, n_hot: int = HOT_KEYS) -> DataFrame:
+    """The ``n_hot`` keys with most rows, counted with partial aggregation."""
     return (
-        df.where(F.col(key).isNotNull()).groupBy(key).agg(n.alias("_n"))
-        .orderBy(F.desc("_n"), F.col(key)).limit(HOT_KEYS).select(key)
+        df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+        .orderBy(F.desc("_n"), F.col(key)).limit(n_hot).select(key)
     )
 
 
