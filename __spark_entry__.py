@@ -154,7 +154,7 @@ def ann_topk(spark, d):
 
 def _text_corpus(spark, d):
     """Documents as chunks; the language stands for the source type."""
-    return fx.table(spark, d, "documents").select(
+    return fx.spread_table(spark, d, "documents").select(
         F.col("doc_id").alias("id"), "text", "source", F.col("lang").alias("source_type"),
         F.create_map(F.lit("source"), F.col("source"), F.lit("source_type"), F.col("lang")).alias("metadata"),
     )

@@ -42,6 +42,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table that row-wise work follows on. One with fewer splits than cores is spread first."""
+    df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _mapped(column: Column, mapping: dict[str, str]) -> Column:
     return F.coalesce(*[F.when(column == k, F.lit(v)) for k, v in mapping.items()])
 
@@ -52,7 +58,7 @@ def _entry(values: list[str], index: Column) -> Column:
 
 def tax_records(spark: SparkSession, sf_dir: str, extra: list[str] | None = None) -> DataFrame:
     """One record per line item; all figures are exact decimal products."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = spread_table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders")
     customers = table(spark, sf_dir, "customer")
     nations = table(spark, sf_dir, "nation")
@@ -104,7 +110,7 @@ def tax_records_without_type_edge(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as paged files, one page per line."""
-    documents = table(spark, sf_dir, "documents")
+    documents = spread_table(spark, sf_dir, "documents")
     filename = F.concat(
         _entry(FILE_PREFIXES, F.col("doc_id") % 4), F.col("doc_id").cast("string"), F.lit(".pdf")
     )
@@ -129,7 +135,7 @@ def slide_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One question per order; result counts run from 0 to 21 and are missing for every fourth."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread_table(spark, sf_dir, "orders")
     customers = table(spark, sf_dir, "customer")
     joined = orders.join(customers, orders.o_custkey == customers.c_custkey)
     turn = F.floor(F.col("o_orderkey") / 10)
@@ -156,7 +162,7 @@ def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return spread_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

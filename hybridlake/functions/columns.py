@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import string
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, functions as F
 
@@ -25,6 +25,15 @@ def fill(template: str, **parts: Column) -> Column:
     return F.concat(*out)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    An expression used inside a lambda is otherwise computed again for every element, also when it
+    was a column of its own before the optimizer merged two projections.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(text: Column) -> Column:
     """Strip all Unicode white space (``trim`` removes only the blank)."""
     return F.regexp_replace(text, _EDGE_SPACE, "")
@@ -32,12 +41,12 @@ def strip(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Split on white space, without empty tokens."""
-    return F.filter(F.split(text, _SPACE_RUN), lambda w: w != "")
+    return F.array_remove(F.split(text, _SPACE_RUN), "")
 
 
 def terms(text: Column) -> Column:
     """Lower-case letter and digit runs: the tokens of text search."""
-    return F.filter(F.split(F.lower(text), _NOT_A_WORD), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), _NOT_A_WORD), "")
 
 
 def missing_to_null(text: Column) -> Column:
@@ -99,5 +108,4 @@ def count_char(text: Column, char: str) -> Column:
 
 def missing_keywords(text: Column, keywords: Column) -> Column:
     """The keywords that the text does not hold, ignoring case."""
-    lowered = F.lower(text)
-    return F.filter(keywords, lambda k: ~F.contains(lowered, F.lower(k)))
+    return let(F.lower(text), lambda t: F.filter(keywords, lambda k: ~F.contains(t, F.lower(k))))

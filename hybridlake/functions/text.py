@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from hybridlake.functions.columns import contains_any, strip
+from hybridlake.functions.columns import contains_any, let, strip, words
 from hybridlake.schemas import CHUNK_OVERLAP, CHUNK_WORDS, MIN_CHUNK_CHARS
 
 # File name parts of each document class; the first class that matches wins.
@@ -41,13 +41,15 @@ def word_span(words: Column, first: Column, last: Column) -> Column:
     return F.array_join(F.transform(F.sequence(first, last), lambda i: F.get(words, i)), " ")
 
 
-def word_windows(words: Column, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> Column:
-    """Overlapping windows over one word array, short ones dropped."""
+def word_windows(text: Column, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> Column:
+    """Overlapping word windows of a text, short ones dropped."""
     step = window_step(size, overlap)
-    n = F.size(words)
-    starts = F.sequence(F.lit(0), F.floor((n - 1) / F.lit(step)).cast("int"))
-    windows = F.transform(
-        starts, lambda i: word_span(words, i * step, F.least(i * step + size, n) - 1)
-    )
-    kept = F.filter(windows, lambda c: F.length(c) > MIN_CHUNK_CHARS)
-    return F.when(n > 0, kept).otherwise(F.array().cast("array<string>"))
+
+    def windows(w: Column) -> Column:
+        n = F.size(w)
+        starts = F.sequence(F.lit(0), F.floor((n - 1) / F.lit(step)).cast("int"))
+        spans = F.transform(starts, lambda i: word_span(w, i * step, F.least(i * step + size, n) - 1))
+        kept = F.filter(spans, lambda c: F.length(c) > MIN_CHUNK_CHARS)
+        return F.when(n > 0, kept).otherwise(F.array().cast("array<string>"))
+
+    return let(words(text), windows)
