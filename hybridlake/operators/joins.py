@@ -21,8 +21,8 @@ def hot_key_join(
 
     ``hot`` names the most frequent keys, of which at most ``n_hot`` are used. Their lookup rows are broadcast, so
     rows of ``big`` with a hot key are completed where they are. The other rows meet the rest of the
-    lookup in an ordinary join; completed rows travel through it under a key of their own made from
-    the ``spread`` columns, so that they spread evenly and match nothing. Every row is read once.
+    lookup in an ordinary join; completed rows pass it with a NULL key, which matches nothing, and a
+    hash of the ``spread`` columns as second key, which spreads them. Every row is read once.
     """
     values = [c for c in lookup.columns if c != key]
     hot = hot.select(key).limit(n_hot)
@@ -30,18 +30,14 @@ def hot_key_join(
         key, F.struct(*values).alias("_near")
     )
     far = lookup.select(
-        F.col(key).alias("_far_key"), F.lit(0).cast("bigint").alias("_far_salt"), F.struct(*values).alias("_far")
+        F.col(key).alias("_far_key"), F.xxhash64(key).alias("_far_hash"), F.struct(*values).alias("_far")
     )
     done = F.col("_near").isNotNull()
     joined = (
         big.join(F.broadcast(near), key, "left")
-        .withColumn("_key", F.when(~done, F.col(key)).otherwise(F.lit(None)))
-        .withColumn("_salt", F.when(~done, F.lit(0)).otherwise(F.xxhash64(*spread)).cast("bigint"))
-        .join(
-            far,
-            F.col("_key").eqNullSafe(F.col("_far_key")) & (F.col("_salt") == F.col("_far_salt")),
-            "left",
-        )
+        .withColumn("_key", F.when(~done, F.col(key)))
+        .withColumn("_hash", F.when(done, F.xxhash64(*spread)).otherwise(F.xxhash64(key)))
+        .join(far, (F.col("_hash") == F.col("_far_hash")) & (F.col("_key") == F.col("_far_key")), "left")
         .withColumn("_found", F.coalesce("_near", "_far"))
     )
     if how == "inner":

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from hybridlake.operators import graph
 from hybridlake.schemas import CHUNK
 from hybridlake.session import work_dir
 
@@ -69,3 +70,30 @@ def store_counts(**tables: DataFrame) -> DataFrame:
         counts = row if counts is None else counts.unionByName(row)
     pick = lambda name: F.max(F.when(F.col("name") == name, F.col("n"))).alias(name)
     return counts.agg(*[pick(name) for name in tables])
+
+
+class GraphStore:
+    """Facts (by tax year), nodes and edges (by relation) as Parquet, so both prune on read."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark = spark
+        self.parts = {name: ChunkStore(spark, f"{path}/{name}") for name in ("facts", "nodes", "edges")}
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self.parts[name].path)
+
+    def add(self, records: DataFrame) -> None:
+        """Add records whose id is not stored yet, with their edges and any new node."""
+        if self.parts["facts"].exists():
+            stored = self.read("facts").select("id")
+            records = materialize(records.join(stored, "id", "left_anti"), "new-records")
+            new_nodes = graph.nodes(records, self.read("nodes"))
+        else:
+            new_nodes = graph.nodes(records)
+        new_nodes.write.mode("append").parquet(self.parts["nodes"].path)
+        graph.edges(records).write.mode("append").partitionBy("rel").parquet(self.parts["edges"].path)
+        graph.facts(records).write.mode("append").partitionBy("tax_year").parquet(self.parts["facts"].path)
+
+    def node_count(self) -> int:
+        """Number of record nodes."""
+        return self.read("facts").count() if self.parts["facts"].exists() else 0
