@@ -9,8 +9,12 @@ from pyspark.sql import Column, functions as F
 
 from hybridlake.schemas import NA_TOKENS
 
-_EDGE_SPACE = r"(?U)^\s+|\s+$"
-_SPACE_RUN = r"(?U)\s+"
+# White space as Python strings define it.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+_SPACE_RUN = f"[{WHITE_SPACE}]+"
 _NOT_A_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -36,7 +40,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(text: Column) -> Column:
     """Strip all Unicode white space (``trim`` removes only the blank)."""
-    return F.regexp_replace(text, _EDGE_SPACE, "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def words(text: Column) -> Column:

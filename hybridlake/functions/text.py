@@ -18,8 +18,10 @@ OTHER_SOURCE_TYPE = "financial_report"
 
 def clean(text: Column) -> Column:
     """Form feeds and carriage returns to line feeds, long gaps shortened, edges stripped."""
-    # The four replacements, in order.
-    for pattern, new in [(r"\f", "\n"), (r"\r\n|\r", "\n"), (r"\n{3,}", "\n\n"), (r"[ \t]{2,}", " ")]:
+    # The replacements, in order.
+    for old in ["\f", "\r\n", "\r"]:
+        text = F.replace(text, F.lit(old), F.lit("\n"))
+    for pattern, new in [(r"\n{3,}", "\n\n"), (r"[ \t]{2,}", " ")]:
         text = F.regexp_replace(text, pattern, new)
     return strip(text)
 
