@@ -1,0 +1,164 @@
+import math
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from hybridlake import fixtures as fx
+from hybridlake.operators import search
+from hybridlake.operators.joins import hot_key_join, most_frequent
+
+
+def rounded(hits):
+    return sorted((*h[:3], round(float(h[3]), 6)) for h in hits)
+
+
+def found(df):
+    return rounded((r.qid, r["rank"], r.id, r.score) for r in df.collect())
+
+
+@pytest.fixture(scope="module")
+def vectors(spark, sf):
+    return fx.vectors(spark, sf).cache()
+
+
+@pytest.fixture(scope="module")
+def queries(vectors):
+    return vectors.select(F.col("id").alias("qid"), "embedding")
+
+
+def test_vectors_against_numpy(vectors, queries):
+    rows = vectors.orderBy("id").collect()
+    matrix = np.array([r.embedding for r in rows], dtype=float)
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    scores = np.floor((matrix @ matrix.T) * 1e4 + 0.5) / 1e4
+    want = []
+    for q in range(len(rows)):
+        best = sorted(range(len(rows)), key=lambda i: (-scores[q, i], i))[:5]
+        want += [(q, n + 1, i, scores[q, i]) for n, i in enumerate(best)]
+    assert found(search.vector_topk(vectors, queries, 5)) == rounded(want)
+
+
+def test_blocks_of_queries_and_rows_give_the_same(vectors, queries, monkeypatch):
+    want = found(search.vector_topk(vectors, queries, 6))
+    monkeypatch.setattr(search, "BLOCK_ROWS", 70)
+    assert found(search.vector_topk(vectors, queries, 6, limit=150)) == want
+
+
+def test_copies_tie_by_id(spark):
+    corpus = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(500)], "id long, embedding array<float>")
+    asked = spark.createDataFrame([(1, [2.0, 0.0])], "qid long, embedding array<float>")
+    assert [r[2] for r in found(search.vector_topk(corpus.repartition(7), asked, 4))] == [0, 1, 2, 3]
+
+
+def test_string_ids_and_empty_sides(spark):
+    corpus = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("z", None)], "id string, embedding array<float>")
+    asked = spark.createDataFrame([("q", [0.5, 0.0])], "qid string, embedding array<float>")
+    assert found(search.vector_topk(corpus, asked, 9)) == [("q", 1, "a", 1.0), ("q", 2, "b", 1.0)]
+    assert found(search.vector_topk(corpus.where("false"), asked, 9)) == []
+    assert found(search.vector_topk(corpus, asked.where("false"), 9)) == []
+
+
+def test_approximate_search_recalls_most_neighbours(vectors, queries):
+    exact = {(q, i) for q, _, i, _ in found(search.vector_topk(vectors, queries, 8))}
+    cells = search.Cells.train(vectors, 16)
+    near = found(search.ann_topk(vectors, queries, cells, 12, 8))
+    assert len(exact & {(q, i) for q, _, i, _ in near}) / len(exact) >= 0.9
+    assert found(search.ann_topk(vectors, queries, cells, 16, 8)) == found(search.vector_topk(vectors, queries, 8))
+    assert found(search.ann_topk(vectors, queries, cells, 12, 8, limit=200)) == near
+
+
+def tokens(text):
+    return [t for t in re.split(r"[\W_]+", text.lower()) if t]
+
+
+def tfidf_model(corpus, asked, k, where=lambda i: True):
+    """TF-IDF cosine over plain dictionaries."""
+    counts = {i: Counter(tokens(t)) for i, t in corpus.items()}
+    df = Counter(t for c in counts.values() for t in c)
+    idf = {t: math.log((1 + len(corpus)) / (1 + n)) + 1 for t, n in df.items()}
+    weigh = lambda c: {t: n * idf[t] for t, n in c.items() if t in idf}
+    size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    docs = {i: weigh(c) for i, c in counts.items() if where(i)}
+    out = []
+    for q, text in asked.items():
+        mine = weigh(Counter(tokens(text)))
+        scored = []
+        for i, v in docs.items():
+            dot = sum(w * v[t] for t, w in mine.items() if t in v)
+            if dot > 0:
+                scored.append((-math.floor(dot / size(mine) / size(v) * 1e4 + 0.5) / 1e4, i))
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted(scored)[:k])]
+    return sorted(out)
+
+
+CORPUS = {
+    1: "tax tax rate of the state", 2: "the excise levy", 3: "the the the", 4: "income of the trust in CA",
+    5: "", 6: "tax rate", 7: "the tax of the trust", 8: "the", 9: "the", 10: "EXCISE tax, excise!",
+}
+ASKED = {1: "the tax rate", 2: "excise excise levy", 3: "unknown words", 4: "the", 5: ""}
+
+
+@pytest.fixture
+def texts(spark):
+    corpus = spark.createDataFrame(list(CORPUS.items()), "id long, text string").withColumn(
+        "source", F.concat(F.lit("f"), F.col("id") % 3)
+    ).withColumn("source_type", F.concat(F.lit("t"), F.col("id") % 2))
+    return corpus.repartition(3), spark.createDataFrame(list(ASKED.items()), "qid long, message string")
+
+
+@pytest.mark.parametrize("limits", [{}, {"local_terms": 2}, {"limit": 2}])
+def test_text_search_against_a_model_on_every_path(texts, limits):
+    assert found(search.text_topk(*texts, k=4, **limits)) == rounded(tfidf_model(CORPUS, ASKED, 4))
+
+
+def test_text_search_with_joins_that_cannot_broadcast(spark, texts):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert found(search.text_topk(*texts, k=4, local_terms=1)) == rounded(tfidf_model(CORPUS, ASKED, 4))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_filters_choose_candidates_and_combine(texts):
+    got = found(search.text_topk(*texts, k=4, source="f1", source_type="t1"))
+    assert got == rounded(tfidf_model(CORPUS, ASKED, 4, lambda i: i % 3 == 1 and i % 2 == 1))
+
+
+def test_embedder_feeds_vector_search(spark):
+    def load():
+        def model(batch):
+            return np.array([[t.count("tax"), t.count("trust"), 1.0] for t in batch])
+        return model
+
+    embed = search.embedder(load)
+    corpus = spark.createDataFrame([(1, "tax tax tax"), (2, "trust trust trust"), (3, "none")], "id long, text string")
+    asked = spark.createDataFrame([(1, "my trust, trust")], "qid long, message string")
+    hits = search.vector_topk(
+        corpus.withColumn("embedding", embed("text")), asked.withColumn("embedding", embed("message")), 2
+    )
+    assert [r[2] for r in found(hits)] == [2, 3]
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_hot_key_join_equals_a_plain_join(spark, how, broadcast):
+    if not broadcast:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        big = spark.range(3000).select(
+            F.col("id").alias("n"),
+            F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, None)
+            .otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("key"),
+        )
+        lookup = spark.range(35).select(F.concat(F.lit("k"), "id").alias("key"), F.col("id").alias("v")).union(
+            spark.createDataFrame([("hot", 99)], "key string, v long")
+        )
+        joined = hot_key_join(big, lookup, "key", most_frequent(big, "key", 3), ["n"], how, 3)
+        want = big.join(lookup, "key", how).select("n", "key", "v")
+        key = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+        assert key(joined) == key(want)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
