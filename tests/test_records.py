@@ -52,8 +52,9 @@ def test_folder_scan_takes_csv_only_and_not_sub_folders(spark, tmp_path):
 
 def test_broken_lines_go_to_the_rejects(spark, tmp_path):
     (tmp_path / "a.csv").write_text(RECORD_CSV + "Trust,2022\n")
-    raw = read_record_files(spark, str(tmp_path)).cache()
+    raw = read_record_files(spark, str(tmp_path))
     assert [r.line for r in rejected_records(raw).collect()] == ["Trust,2022"]
+    assert rejected_records(raw).count() == 1
     assert typed_records(raw).count() == 5
 
 
