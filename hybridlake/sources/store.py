@@ -83,15 +83,21 @@ class GraphStore:
         return self.spark.read.parquet(self.parts[name].path)
 
     def add(self, records: DataFrame) -> None:
-        """Add records whose id is not stored yet, with their edges and any new node."""
+        """Add records whose id is not stored yet, with their edges and any new node.
+
+        Facts are written last, so a load that broke off is taken up again without doubling anything.
+        """
         if self.parts["facts"].exists():
             stored = self.read("facts").select("id")
             records = materialize(records.join(stored, "id", "left_anti"), "new-records")
+        new_nodes, new_edges = graph.nodes(records), graph.edges(records)
+        if self.parts["nodes"].exists():
             new_nodes = graph.nodes(records, self.read("nodes"))
-        else:
-            new_nodes = graph.nodes(records)
+        if self.parts["edges"].exists():
+            held = self.read("edges").select("src", "rel")
+            new_edges = new_edges.join(held, ["src", "rel"], "left_anti")
         new_nodes.write.mode("append").parquet(self.parts["nodes"].path)
-        graph.edges(records).write.mode("append").partitionBy("rel").parquet(self.parts["edges"].path)
+        new_edges.write.mode("append").partitionBy("rel").parquet(self.parts["edges"].path)
         graph.facts(records).write.mode("append").partitionBy("tax_year").parquet(self.parts["facts"].path)
 
     def node_count(self) -> int:
