@@ -171,10 +171,6 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("qid"), "embedding")
-
-
 def eval_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One item per conversation: the first user turn, its first three words as the keywords."""
     turns = table(spark, sf_dir, "conversations").where(F.col("role") == "user")

@@ -117,11 +117,6 @@ SELECT 'agg_type_' || replace(taxpayer_type, ' ', '_') AS id,
   CAST(NULL AS VARCHAR) AS taxpayer_type, CAST(NULL AS VARCHAR) AS "year"
 FROM tax_records t GROUP BY t.taxpayer_type"""
 PARTS["state_modes"] = """
-SELECT state,
-  (SELECT income_source FROM tax_records b WHERE b.state = a.state GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS top_source,
-  (SELECT taxpayer_type FROM tax_records b WHERE b.state = a.state GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS top_type
-FROM (SELECT DISTINCT state FROM tax_records) a"""
-PARTS["state_modes"] = """
 SELECT s.state, s.income_source AS top_source, t.taxpayer_type AS top_type FROM
   (SELECT state, income_source, row_number() OVER (PARTITION BY state ORDER BY count(*) DESC, income_source) AS n
    FROM tax_records GROUP BY 1, 2) s
