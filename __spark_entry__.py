@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -20,6 +21,12 @@ from hybridlake.session import work_dir  # noqa: E402
 from hybridlake.sources import store  # noqa: E402
 from hybridlake.streaming import ingest as stream  # noqa: E402
 
+#: The training-data operators, in a subpackage that may be absent.
+LLM = importlib.util.find_spec("hybridlake.llm") is not None and importlib.util.find_spec("corpus_pipeline") is not None
+if LLM:
+    import corpus_pipeline
+    from hybridlake.llm import queries as llm
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 TOP = 8
@@ -261,9 +268,10 @@ def queries() -> dict[str, Query]:
         ),
         "eval_by_category": lambda s, d: evaluate.pass_rates(eval_verdicts(s, d)),
         "stream_ingest": stream_ingest,
+        **({**llm.QUERIES, "pipeline": corpus_pipeline.run} if LLM else {}),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """For each query, SQL that DuckDB runs on the same tables."""
-    return oracles.oracle_sql()
+    return {**oracles.oracle_sql(), **(llm.SQL if LLM else {})}
