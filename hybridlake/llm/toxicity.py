@@ -18,25 +18,30 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from hybridlake.llm.stored import stored
 from hybridlake.llm.texts import CACHED_LENGTH, CACHED_WORDS, documents
 
 ORDER = 4            # letters of a subsequence
 SPAN = 8             # most characters it may stretch over
 DECAY = 0.6
-CODES = 33           # a-z, five classes of other letters, the start of a word, and what is no letter
-START, NONE = 31, 32
+CODES = 34           # a-z, five classes of other letters, the start and the end of a word, and what is no letter
+START, END, NONE = 31, 32, 33
 LONGEST = 20         # longer words are read in overlapping windows of this many characters
 SENTENCE_WORDS = 60
 
 THRESHOLD = 0.3
 #: The bounded sample of labelled documents a model is fitted on: the least hashes of each label.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 6000
-LANDMARKS = 192
-WITNESSES, OTHERS = 1500, 20000
-MIN_DOCS = 3         # toxic documents of the sample that hold a witness, at least
+SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
+LANDMARKS = 200      # of witnesses, of other words and of hard ones each
+WITNESSES, OTHERS, HARD = 500, 8000, 2000
+LEAST_SENTENCES = 4  # sentences that hold a witness, at least; and one for each SHARE toxic documents
+SHARE = 100
+GAPPED = 0.3         # weight of a witness's gapped forms beside its own
 
 SPLIT = re.compile(r"[.!?\n]+(?=\s|$)|\n")
 APART = re.compile(r"(?<!\S)\S(?:\s\S(?!\S)){2,}")
+DOTTED = re.compile(r"(?<!\w)(?:\w[^\w\s]){3,}\w(?!\w)")
+NO_LETTER = re.compile(r"[\W_]+")
 
 
 # --- subsequences ------------------------------------------------------------------
@@ -47,18 +52,19 @@ def _layout(n: int) -> tuple[np.ndarray, np.ndarray]:
     return places, (DECAY ** (places[:, -1] - places[:, 0] + 1 - ORDER)).astype(np.float32)
 
 
-_LAYOUTS = {n: _layout(n) for n in range(1, LONGEST + 2)}
+_LAYOUTS = {n: _layout(n) for n in range(2, LONGEST + 3)}
 
 
 def letters(words: list[str]) -> np.ndarray:
-    """Codes of words of one length, with the start in front: one row per word."""
+    """Codes of words of one length, between start and end: one row per word."""
     flat = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").reshape(len(words), -1).astype(np.int64)
     codes = np.full(flat.shape, NONE, dtype=np.int64)
     plain = (flat >= 97) & (flat <= 122)
     codes[plain] = flat[plain] - 97
     other = flat >= 0xAA
     codes[other] = 26 + flat[other] * 7 % 5
-    return np.concatenate([np.full((len(words), 1), START), codes], axis=1)
+    edge = np.ones((len(words), 1), dtype=np.int64)
+    return np.concatenate([edge * START, codes, edge * END], axis=1)
 
 
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -132,13 +138,14 @@ class Model:
 
 
 def tokens(text: str | None) -> set[str]:
-    """The distinct words of a text: separated by white space, and letters written apart read as one word."""
+    """The distinct words of a text: separated by white space; letters written apart or dotted are read as one word too."""
     if not text:
         return set()
     lowered = text.lower()
     found = set(lowered.split())
-    for run in APART.findall(lowered):
-        found.add("".join(run.split()))
+    for run in APART.findall(lowered) + DOTTED.findall(lowered):
+        found.add(NO_LETTER.sub("", run))
+    found.discard("")
     return found
 
 
@@ -186,39 +193,49 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Fit on sentences of the sample; None without documents of both labels (then every score is 0).
+    """Fit on the distinct sentences of the sample; None without words to tell the labels apart (every score is 0 then).
 
-    Sentences of clean documents are clean. A sentence of a toxic document is toxic if it holds a witness: a word of one
-    toxic document in 200 (of MIN_DOCS at least) and of no clean one. Its witnesses are the positive instances, all other words of
-    clean sentences the negative ones. The sigmoid is fitted to the best word of each document of the sample.
+    A sentence has the label of its document; one that also stands in a clean document is clean. Counting each sentence
+    once keeps groups of copies from speaking for the words they share. Words of enough toxic sentences and of no clean
+    one are the witnesses, the positive instances; their gapped forms join them. Negative instances are words of clean
+    sentences: the commonest, a sample by hash, and, after a first fit, those it finds most toxic. The sigmoid is fitted
+    to the best word of each document of the sample.
     """
     sample = labelled_sample(docs, labels)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
+    rows = stored(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label"), "labelled")
+
+    def sentences_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            found = [(s, label) for text, label in zip(frame["text"], frame["label"]) for s in sentences(text)]
+            yield pd.DataFrame(found, columns=["sentence", "label"])
 
     def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             counts: dict[str, list[int]] = {}
-            for text, label in zip(frame["text"], frame["label"]):
-                found = {w for sentence in sentences(text) for t in tokens(sentence) for w in windows(t)}
-                for word in found:
+            for sentence, label in zip(frame["sentence"], frame["label"]):
+                for word in {w for t in tokens(sentence) for w in windows(t)}:
                     counts.setdefault(word, [0, 0])[label] += 1
             yield pd.DataFrame([(w, c, t) for w, (c, t) in counts.items()], columns=["word", "clean", "toxic"])
 
-    counts = rows.mapInPandas(words_of, "word string, clean long, toxic long").groupBy("word").agg(
-        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).persist()
-    try:
-        least = max(MIN_DOCS, sample.where("label = 1").count() // 200)
-        witnesses = counts.where((F.col("clean") == 0) & (F.col("toxic") >= least)).orderBy(
-            F.desc("toxic"), "word").limit(WITNESSES).collect()
-        common = counts.where("clean > 0").orderBy(F.desc("clean"), "word").limit(OTHERS // 4).collect()
-        others = counts.where("clean > 0").orderBy(F.xxhash64("word"), "word").limit(OTHERS).collect()
-    finally:
-        counts.unpersist()
+    distinct = rows.mapInPandas(sentences_of, "sentence string, label int").groupBy("sentence").agg(F.min("label").alias("label"))
+    counts = stored(distinct.mapInPandas(words_of, "word string, clean long, toxic long").groupBy("word").agg(
+        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "word-counts")
+    least = max(LEAST_SENTENCES, rows.where("label = 1").count() // SHARE)
+    clean = counts.where("clean > 0")
+    top = lambda df, n, *order: df.orderBy(*order, "word").limit(n).collect()
+    witnesses = top(counts.where((F.col("clean") == 0) & (F.col("toxic") >= least)), WITNESSES, F.desc("toxic"))
+    others = sorted({r["word"] for r in top(clean, OTHERS // 4, F.desc("clean")) + top(clean, OTHERS, F.xxhash64("word"))})
     if not witnesses or not others:
         return None
-    seen = np.array([r["toxic"] for r in witnesses], dtype=np.float64)
-    model = fit(
-        [r["word"] for r in witnesses], seen, sorted({r["word"] for r in common} | {r["word"] for r in others}))
+    words, seen = [r["word"] for r in witnesses], np.array([r["toxic"] for r in witnesses], dtype=np.float64)
+    first = spark.sparkContext.broadcast(fit(words, seen, others, []))
+
+    def scored_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            yield pd.DataFrame({"word": frame["word"], "score": first.value.words(frame["word"].tolist())})
+
+    hard = top(clean.select("word").mapInPandas(scored_words, "word string, score double"), HARD, F.desc("score"))
+    model = fit(words, seen, others, sorted(r["word"] for r in hard))
     table = spark.sparkContext.broadcast(model)
 
     def best_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,20 +248,30 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model | No
     return model
 
 
-def fit(witnesses: list[str], seen: np.ndarray, others: list[str]) -> Model:
-    """The kernel machine over words, folded into one weight per subsequence."""
-    landmarks = witnesses[:LANDMARKS // 2] + others[::max(1, len(others) // (LANDMARKS // 2))][:LANDMARKS // 2]
+def gapped(word: str) -> list[str]:
+    """Forms of a word with characters put in: all letters apart, one sign inside, one letter twice."""
+    half = len(word) // 2
+    return [".".join(word), f"{word[:half]}*{word[half:]}", f"{word[:half]}{word[half:half + 1]}{word[half:]}"]
+
+
+def fit(witnesses: list[str], seen: np.ndarray, others: list[str], hard: list[str]) -> Model:
+    """The kernel machine over words, folded into one weight per subsequence; ``hard`` are others it took for toxic."""
+    forms = [(f, n) for word, n in zip(witnesses, seen) for f in gapped(word) if len(f) <= LONGEST]
+    own, seen = witnesses, np.concatenate([seen, [GAPPED * n for _, n in forms]])
+    witnesses = witnesses + [f for f, _ in forms]
+    step = lambda words, n: words[::max(1, len(words) // n)][:n]
+    landmarks = own[:LANDMARKS] + step(others, LANDMARKS) + step(hard, LANDMARKS)
     used = sorted({int(i) for n, m in by_length(landmarks).items() for i in np.unique(subsequences([landmarks[k] for k in m])[0]) if i >= 0})
     index = {code: k for k, code in enumerate(used)}
     phi = features(landmarks, index)
     values, vectors = np.linalg.eigh(phi @ phi.T)
     keep = values > 1e-6 * max(values.max(), 1e-12)
     project = phi.T @ (vectors[:, keep] / np.sqrt(values[keep]))  # subsequence → Nyström feature
-    chunks = [features(part, index) @ project for part in
-              ((witnesses + others)[i:i + 1000] for i in range(0, len(witnesses) + len(others), 1000))]
-    x = np.concatenate(chunks)
-    y = np.concatenate([np.ones(len(witnesses)), -np.ones(len(others))])
-    weight = np.concatenate([seen / seen.sum(), np.full(len(others), 1.0 / len(others))]) * len(y) / 2
+    words = witnesses + others + hard
+    x = np.concatenate([features(words[i:i + 1000], index) @ project for i in range(0, len(words), 1000)])
+    rest = len(words) - len(witnesses)
+    y = np.concatenate([np.ones(len(witnesses)), -np.ones(rest)])
+    weight = np.concatenate([seen / seen.sum(), np.full(rest, 1.0 / rest)]) * len(y) / 2
     direction, bias = svm(x, y, weight)
     weights = np.zeros(CODES ** ORDER + 1, dtype=np.float32)  # the last one, for -1, stays 0
     weights[used] = project @ direction
