@@ -32,7 +32,7 @@ SENTENCE_WORDS = 60
 THRESHOLD = 0.3
 #: The bounded sample of labelled documents a model is fitted on: the least hashes of each label.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
-LANDMARKS = 200      # of witnesses, of other words and of hard ones each
+LANDMARKS = 128      # of witnesses, of other words and of hard ones each
 WITNESSES, OTHERS, HARD = 500, 8000, 2000
 LEAST_SENTENCES = 4  # sentences that hold a witness, at least; and one for each SHARE toxic documents
 SHARE = 100
@@ -102,7 +102,7 @@ def by_length(words: list[str]) -> dict[int, list[int]]:
 
 def features(words: list[str], index: dict[int, int]) -> np.ndarray:
     """Kernel features of words over the subsequences in ``index``."""
-    out = np.zeros((len(words), len(index)), dtype=np.float64)
+    out = np.zeros((len(words), len(index)), dtype=np.float32)
     place = np.full(CODES ** ORDER + 1, -1, dtype=np.int64)
     place[list(index)] = list(index.values())
     for n, members in by_length(words).items():
@@ -264,17 +264,17 @@ def fit(witnesses: list[str], seen: np.ndarray, others: list[str], hard: list[st
     used = sorted({int(i) for n, m in by_length(landmarks).items() for i in np.unique(subsequences([landmarks[k] for k in m])[0]) if i >= 0})
     index = {code: k for k, code in enumerate(used)}
     phi = features(landmarks, index)
-    values, vectors = np.linalg.eigh(phi @ phi.T)
-    keep = values > 1e-6 * max(values.max(), 1e-12)
-    project = phi.T @ (vectors[:, keep] / np.sqrt(values[keep]))  # subsequence → Nyström feature
+    values, vectors = np.linalg.eigh((phi @ phi.T).astype(np.float64))
+    keep = values > 1e-5 * max(values.max(), 1e-12)
+    project = vectors[:, keep] / np.sqrt(values[keep])  # kernel values to the landmarks → Nyström features
     words = witnesses + others + hard
-    x = np.concatenate([features(words[i:i + 1000], index) @ project for i in range(0, len(words), 1000)])
+    x = np.concatenate([features(words[i:i + 100], index) @ phi.T for i in range(0, len(words), 100)]) @ project
     rest = len(words) - len(witnesses)
     y = np.concatenate([np.ones(len(witnesses)), -np.ones(rest)])
     weight = np.concatenate([seen / seen.sum(), np.full(rest, 1.0 / rest)]) * len(y) / 2
     direction, bias = svm(x, y, weight)
     weights = np.zeros(CODES ** ORDER + 1, dtype=np.float32)  # the last one, for -1, stays 0
-    weights[used] = project @ direction
+    weights[used] = phi.T @ (project @ direction)
     return Model(weights, bias, 1.0, 0.0)
 
 
