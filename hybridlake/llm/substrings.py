@@ -4,7 +4,7 @@ Pass 1 counts, in a count-min sketch, the documents of each window by its anchor
 runs inside the window. Equal windows have equal anchors, so the count of an anchor is never below that of a window; a
 run of neighbouring windows shares one anchor, so the sketch has a fifth of the entries. Each task sketches its part;
 parts are merged cell by cell in Spark. Pass 2 hands on only windows whose anchor is estimated in two documents or more
-and groups these exactly, by 128 bits of their word sequence. The sketch only overestimates, so no window is lost.
+and groups these exactly, by 96 bits of their word sequence. The sketch only overestimates, so no window is lost.
 
 The estimate also bounds the groups: windows estimated in fewer than HOT documents are grouped in one place, which then
 holds fewer than HOT rows; for the others the least doc_id is aggregated by parts and joined back.
@@ -20,13 +20,12 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from hybridlake.llm.stored import stored
 from hybridlake.llm.texts import WordHashes, ascii_words, byte_slices, documents, mixed, odd_numbers, shingle_hashes
 
 WINDOW = 13
 ANCHOR = 5
 DEPTH = 2
-HOT = 200
+HOT = 50_000         # rows of one group at most: 32 bytes each
 BLOCK_CELLS = 1 << 16
 #: Bounds of the sketch's width. At the upper one its two bitmaps take 16 MB each; a fuller sketch lets more windows
 #: through to the exact pass and changes no result.
@@ -149,46 +148,47 @@ class Sketch:
         return twice, hot
 
 
-def repeated_windows(docs: DataFrame, sketch: Broadcast, text: str) -> DataFrame:
-    """``(first, second, hot, doc_id)``: each different window of a document once, if estimated repeated."""
+def repeated_windows(docs: DataFrame, sketch: Broadcast, text: str, hot: bool) -> DataFrame:
+    """``(first, second, doc_id)``: each different window of a document once, if its anchor is estimated in two documents
+    or more; only those estimated in HOT or more, or only the others. 96 bits stand for a window's word sequence."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, table = WordHashes(), sketch.value
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for part in byte_slices(texts):
-                columns: list[list[np.ndarray]] = [[], [], [], []]
+            ids = batch.column(0)
+            for part in byte_slices(batch.column(1)):
+                columns: list[list[np.ndarray]] = [[], [], []]
                 for i in range(part.start, part.stop):
-                    words = hashes.of(ascii_words(texts[i]))
-                    found = anchors(words)
-                    twice, hot = table.estimated(found)
-                    at = np.flatnonzero(twice)
+                    words = hashes.of(ascii_words(batch.column(1)[i].as_py()))
+                    twice, often = table.estimated(anchors(words))
+                    at = np.flatnonzero(often if hot else twice & ~often)
                     if len(at):
-                        one, two = window_hashes(words, at, FIRST_KEYS), window_hashes(words, at, SECOND_KEYS)
-                        _, once = np.unique(one, return_index=True)
-                        for column, values in zip(columns, (one[once], two[once], hot[at[once]], np.full(len(once), ids[i].as_py()))):
+                        one, once = np.unique(window_hashes(words, at, FIRST_KEYS), return_index=True)
+                        two = window_hashes(words, at[once], SECOND_KEYS).astype(np.uint32)
+                        for column, values in zip(columns, (one, two, np.full(len(one), ids[i].as_py()))):
                             column.append(values)
                 if columns[0]:
-                    one, two, hot, of = map(np.concatenate, columns)
+                    one, two, of = map(np.concatenate, columns)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(hot), pa.array(of.astype(np.int64))],
-                        names=["first", "second", "hot", "doc_id"])
+                        [pa.array(one.view(np.int64)), pa.array(two.view(np.int32)), pa.array(of.astype(np.int64))],
+                        names=["first", "second", "doc_id"])
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text)
-    return rows.mapInArrow(windows, "first long, second long, hot boolean, doc_id long")
+    return rows.mapInArrow(windows, "first long, second int, doc_id long")
 
 
 def windows_to_remove(docs: DataFrame, text: str = "text") -> DataFrame:
     """``(doc_id, windows)``: hashes of the windows that a document with a smaller doc_id has too."""
     width = sketch_width(docs, text)
-    sketch = docs.sparkSession.sparkContext.broadcast(Sketch(width, merged_sketch(docs, width, text)))
-    found = stored(repeated_windows(docs, sketch, text), "windows")
+    merged = Sketch(width, merged_sketch(docs, width, text))
+    sketch = docs.sparkSession.sparkContext.broadcast(merged)
     earliest = F.min("doc_id").over(Window.partitionBy("first", "second"))
-    few = found.where("not hot").withColumn("least", earliest).where("doc_id > least").select("doc_id", "first")
-    many = found.where("hot").select("first", "second", "doc_id")
-    least = many.groupBy("first", "second").agg(F.min("doc_id").alias("least"))
-    hot = many.join(least, ["first", "second"]).where("doc_id > least").select("doc_id", "first")
-    return few.unionByName(hot).groupBy("doc_id").agg(F.collect_list("first").alias("windows"))
+    later = repeated_windows(docs, sketch, text, hot=False).withColumn("least", earliest).where("doc_id > least")
+    if merged.hot is not None:
+        many = repeated_windows(docs, sketch, text, hot=True)
+        least = many.groupBy("first", "second").agg(F.min("doc_id").alias("least"))
+        later = later.unionByName(many.join(least, ["first", "second"]).where("doc_id > least"))
+    return later.groupBy("doc_id").agg(F.collect_list("first").alias("windows"))
 
 
 def covered(words: np.ndarray, remove: np.ndarray) -> np.ndarray:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words remembered by one Python worker; beyond it a cache starts anew, so memory stays bounded.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 #: Longer words are worked out each time instead of being remembered.
 CACHED_LENGTH = 48
 #: UTF-8 bytes of the texts that one Python step holds beside its input.
@@ -32,7 +33,7 @@ def byte_slices(texts: Sequence[str | None], most: int = SLICE_BYTES) -> Iterato
     """Cut a batch into runs of neighbours of about ``most`` bytes; one longer text is a run of its own."""
     start, held = 0, 0
     for i, text in enumerate(texts):
-        size = len(text) if text else 0
+        size = (len(text.as_buffer()) if text.is_valid else 0) if isinstance(text, pa.Scalar) else len(text or "")
         if i > start and held + size > most:
             yield slice(start, i)
             start, held = i, 0
