@@ -7,12 +7,15 @@ parts are merged cell by cell in Spark. Pass 2 hands on only windows whose ancho
 and groups these exactly, by 96 bits of their word sequence. The sketch only overestimates, so no window is lost.
 
 The estimate also bounds the groups: windows estimated in fewer than HOT documents are grouped in one place, which then
-holds fewer than HOT rows; for the others the least doc_id is aggregated by parts and joined back.
+holds fewer than HOT rows. Of the others, the hot windows, only the least doc_id is wanted, which is aggregated by parts.
+A hot window stands for HOT rows or more, so this table is small; up to MOST_HOT windows of it travel to the texts, and
+beyond that it is joined.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,12 +23,14 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from hybridlake.llm.stored import stored
 from hybridlake.llm.texts import WordHashes, ascii_words, byte_slices, documents, mixed, odd_numbers, shingle_hashes
 
 WINDOW = 13
 ANCHOR = 5
 DEPTH = 2
-HOT = 50_000         # rows of one group at most: 32 bytes each
+HOT = 200            # rows of one group at most
+MOST_HOT = 2_000_000  # hot windows that travel to the texts, 20 bytes each
 BLOCK_CELLS = 1 << 16
 #: Bounds of the sketch's width. At the upper one its two bitmaps take 16 MB each; a fuller sketch lets more windows
 #: through to the exact pass and changes no result.
@@ -177,27 +182,64 @@ def repeated_windows(docs: DataFrame, sketch: Broadcast, text: str, hot: bool) -
     return rows.mapInArrow(windows, "first long, second int, doc_id long")
 
 
-def windows_to_remove(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(doc_id, windows)``: hashes of the windows that a document with a smaller doc_id has too."""
+@dataclass
+class HotWindows:
+    """Least doc_id of each hot window, by its hashes in order of the first."""
+
+    first: np.ndarray
+    second: np.ndarray
+    least: np.ndarray
+
+    def earlier(self, words: np.ndarray, at: np.ndarray, doc_id: int) -> np.ndarray:
+        """Which of the windows that start at ``at`` stand in a document before ``doc_id``."""
+        one, two = window_hashes(words, at, FIRST_KEYS), window_hashes(words, at, SECOND_KEYS).astype(np.uint32)
+        place = np.minimum(np.searchsorted(self.first, one), len(self.first) - 1)
+        return (self.first[place] == one) & (self.second[place] == two) & (self.least[place] < doc_id)
+
+
+@dataclass
+class Removal:
+    """What is to go: ``(doc_id, windows)`` rows, and the hot windows that are looked up where the texts are."""
+
+    windows: DataFrame
+    sketch: Broadcast
+    hot: Broadcast | None
+
+
+def windows_to_remove(docs: DataFrame, text: str = "text") -> Removal:
+    """The windows of each document that one with a smaller doc_id has too."""
     width = sketch_width(docs, text)
     merged = Sketch(width, merged_sketch(docs, width, text))
-    sketch = docs.sparkSession.sparkContext.broadcast(merged)
+    context = docs.sparkSession.sparkContext
+    sketch, hot = context.broadcast(merged), None
     earliest = F.min("doc_id").over(Window.partitionBy("first", "second"))
     later = repeated_windows(docs, sketch, text, hot=False).withColumn("least", earliest).where("doc_id > least")
     if merged.hot is not None:
         many = repeated_windows(docs, sketch, text, hot=True)
-        least = many.groupBy("first", "second").agg(F.min("doc_id").alias("least"))
-        later = later.unionByName(many.join(least, ["first", "second"]).where("doc_id > least"))
-    return later.groupBy("doc_id").agg(F.collect_list("first").alias("windows"))
-
-
-def covered(words: np.ndarray, remove: np.ndarray) -> np.ndarray:
-    """Whether each word lies in a window whose hash is in ``remove``."""
-    at = np.arange(len(words) - WINDOW + 1)
-    hit = np.isin(window_hashes(words, at, FIRST_KEYS), remove)
+        least = many.groupBy("first", "second").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+        least = stored(least.where("n > 1").drop("n"), "hot-windows")
+        if least.count() <= MOST_HOT:
+            hot = context.broadcast(hot_windows(least))
+        else:
+            later = later.unionByName(many.join(least, ["first", "second"]).where("doc_id > least"))
+    return Removal(later.groupBy("doc_id").agg(F.collect_list("first").alias("windows")), sketch, hot)
+
+
+def hot_windows(least: DataFrame) -> HotWindows | None:
+    """At most MOST_HOT rows, as sorted arrays."""
+    table = least.toArrow()
+    if not len(table):
+        return None
+    first = table["first"].to_numpy().view(np.uint64)
+    order = np.argsort(first, kind="stable")
+    return HotWindows(first[order], table["second"].to_numpy().view(np.uint32)[order], table["least"].to_numpy()[order])
+
+
+def covered(words: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """Whether each word lies in a window that starts at one of ``hit``."""
     depth = np.zeros(len(words) + 1, dtype=np.int64)
-    np.add.at(depth, np.flatnonzero(hit), 1)
-    np.add.at(depth, np.flatnonzero(hit) + WINDOW, -1)
+    np.add.at(depth, hit, 1)
+    np.add.at(depth, hit + WINDOW, -1)
     return np.cumsum(depth)[:-1] > 0
 
 
@@ -210,29 +252,47 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     kept = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed", "kept")]
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    removal = windows_to_remove(plain).withColumnRenamed("doc_id", "removal_id")
+    removal = windows_to_remove(plain)
+    listed = removal.windows.withColumnRenamed("doc_id", "removal_id")
     whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).cast("long").alias("removal_key"))
-    joined = whole.join(removal, whole["removal_key"] == removal["removal_id"], "left")
-    done = joined.select("row", _cut(F.col("row")[text], F.col("windows")).alias("cut"))
+    joined = whole.join(listed, F.col("removal_key") == F.col("removal_id"), "left")
+    done = joined.select("row", _cut(removal, F.col("row")[text], F.col("windows"), F.col("removal_key")).alias("cut"))
     return done.select(*[F.col("row")[c].alias(c) for c in kept], "cut.n_words", "cut.n_removed", "cut.kept")
 
 
-def _cut(text: Column, windows: Column) -> Column:
+def _cut(removal: Removal, text: Column, windows: Column, key: Column) -> Column:
+    sketch, hot = removal.sketch, removal.hot
+
+    def starts(words: np.ndarray, remove: np.ndarray | None, table: HotWindows | None, doc_id: int | None) -> np.ndarray:
+        """Where windows to remove start in a document given by its word hashes."""
+        found = []
+        if remove is not None:
+            every = np.arange(len(words) - WINDOW + 1)
+            listed = np.asarray(remove, dtype=np.int64).view(np.uint64)
+            found.append(np.flatnonzero(np.isin(window_hashes(words, every, FIRST_KEYS), listed)))
+        if table is not None and doc_id is not None:
+            _, often = sketch.value.estimated(anchors(words))
+            at = np.flatnonzero(often)
+            found.append(at[table.earlier(words, at, doc_id)])
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
+
     @F.pandas_udf("n_words long, n_removed long, kept string")
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        for texts, removals in batches:
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        hashes, table = WordHashes(), hot.value if hot else None
+        for texts, removals, keys in batches:
             rows = []
-            for body, remove in zip(texts, removals):
-                words = ascii_words(body)
-                left = words
-                if remove is not None:
-                    gone = covered(hashes.of(words), np.asarray(remove, dtype=np.int64).view(np.uint64)) if len(words) >= WINDOW else []
-                    left = [w for w, g in zip(words, gone) if not g] if len(gone) else words
+            for body, remove, doc_id in zip(texts, removals, keys):
+                words = left = ascii_words(body)
+                if len(words) >= WINDOW and (remove is not None or table is not None):
+                    hashed = hashes.of(words)
+                    hit = starts(hashed, remove, table, int(doc_id) if doc_id else None)
+                    if len(hit):
+                        left = [w for w, g in zip(words, covered(hashed, hit).tolist()) if not g]
                 rows.append((len(words), len(words) - len(left), b" ".join(left).decode("utf-8")))
             yield pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])
 
-    return cut(text, windows)
+    # Keys travel as text: a NULL among long values would turn a pandas column into doubles, which lose large ids.
+    return cut(text, windows, F.coalesce(key.cast("string"), F.lit("")))
 
 
 def op10_substrings(spark, sf_dir: str) -> DataFrame:

@@ -213,9 +213,11 @@ def test_substring_query(spark, documents):
     assert found == plain_substrings(rows) and any(n for _, _, n, _ in found)
 
 
-@pytest.mark.parametrize("hot, cells, flush", [(200, 1 << 18, 2_000_000), (3, 1 << 16, 50)])
-def test_substrings_of_odd_rows(odd_docs, monkeypatch, hot, cells, flush):
-    """Also with hot windows, a sketch that is full, and many partial sketches."""
+@pytest.mark.parametrize("hot, most, cells, flush", [
+    (200, 100, 1 << 18, 2_000_000), (2, 10 ** 6, 1 << 18, 50), (3, 10 ** 6, 1 << 16, 50), (2, 10, 1 << 16, 50)])
+def test_substrings_of_odd_rows(odd_docs, monkeypatch, hot, most, cells, flush):
+    """Also with hot windows looked up or joined, a sketch that is full, and many partial sketches."""
+    monkeypatch.setattr(substrings, "MOST_HOT", most)
     monkeypatch.setattr(substrings, "HOT", hot)
     monkeypatch.setattr(substrings, "LEAST_CELLS", cells)
     monkeypatch.setattr(substrings, "MOST_CELLS", cells)
