@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hybridlake.llm.stored import stored
-from hybridlake.llm.texts import WordHashes, ascii_words, byte_slices, documents, mixed, odd_numbers, shingle_hashes
+from hybridlake.llm.texts import WordHashes, ascii_words, byte_slices, documents, mixed, odd_numbers
 
 WINDOW = 13
 ANCHOR = 5
@@ -38,28 +38,37 @@ LEAST_CELLS, MOST_CELLS = 1 << 18, 1 << 27
 #: Anchors a task holds before it hands on a partial sketch.
 FLUSH = 2_000_000
 
+#: Windows hashed in one step.
+STEP = 1 << 16
+
 SEEDS = odd_numbers(DEPTH, 11)
-ANCHOR_KEYS, FIRST_KEYS, SECOND_KEYS = odd_numbers(ANCHOR, 12), odd_numbers(WINDOW, 13), odd_numbers(WINDOW, 14)
+ANCHOR_KEYS, WINDOW_KEYS = odd_numbers(ANCHOR, 12)[:, None], odd_numbers(2 * WINDOW, 13).reshape(WINDOW, 2)
+
+
+def run_hashes(words: np.ndarray, at: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Hashes of the runs that start at ``at``, one per column of ``keys``: sums of word hashes times the place's key."""
+    runs = np.lib.stride_tricks.sliding_window_view(words, len(keys))
+    parts = [runs[at[i:i + STEP]] @ keys for i in range(0, len(at), STEP)]
+    return mixed(np.concatenate(parts)) if parts else np.zeros((0, keys.shape[1]), dtype=np.uint64)
 
 
 def anchors(words: np.ndarray) -> np.ndarray:
     """The anchor of every window of a document given by its word hashes."""
     if len(words) < WINDOW:
         return words[:0]
-    runs = shingle_hashes(words, ANCHOR, ANCHOR_KEYS)
-    windows = len(words) - WINDOW + 1
-    least = runs[:windows].copy()
-    for j in range(1, WINDOW - ANCHOR + 1):
-        np.minimum(least, runs[j:j + windows], out=least)
+    least = run_hashes(words, np.arange(len(words) - ANCHOR + 1), ANCHOR_KEYS)[:, 0]
+    width, whole = 1, WINDOW - ANCHOR + 1
+    while width < whole:  # the least of ``width`` neighbours, from two overlapping halves
+        step = min(width, whole - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
     return least
 
 
-def window_hashes(words: np.ndarray, at: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the windows that start at ``at``."""
-    out = np.zeros(len(at), dtype=np.uint64)
-    for j in range(WINDOW):
-        out += mixed(words[at + j] + keys[j]) * keys[j]
-    return mixed(out)
+def window_hashes(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit and a 32-bit hash of the windows that start at ``at``."""
+    both = run_hashes(words, at, WINDOW_KEYS)
+    return np.ascontiguousarray(both[:, 0]), both[:, 1].astype(np.uint32)
 
 
 def cells(found: np.ndarray, row: int, width: int) -> np.ndarray:
@@ -168,8 +177,9 @@ def repeated_windows(docs: DataFrame, sketch: Broadcast, text: str, hot: bool) -
                     twice, often = table.estimated(anchors(words))
                     at = np.flatnonzero(often if hot else twice & ~often)
                     if len(at):
-                        one, once = np.unique(window_hashes(words, at, FIRST_KEYS), return_index=True)
-                        two = window_hashes(words, at[once], SECOND_KEYS).astype(np.uint32)
+                        one, two = window_hashes(words, at)
+                        one, once = np.unique(one, return_index=True)
+                        two = two[once]
                         for column, values in zip(columns, (one, two, np.full(len(one), ids[i].as_py()))):
                             column.append(values)
                 if columns[0]:
@@ -192,7 +202,7 @@ class HotWindows:
 
     def earlier(self, words: np.ndarray, at: np.ndarray, doc_id: int) -> np.ndarray:
         """Which of the windows that start at ``at`` stand in a document before ``doc_id``."""
-        one, two = window_hashes(words, at, FIRST_KEYS), window_hashes(words, at, SECOND_KEYS).astype(np.uint32)
+        one, two = window_hashes(words, at)
         place = np.minimum(np.searchsorted(self.first, one), len(self.first) - 1)
         return (self.first[place] == one) & (self.second[place] == two) & (self.least[place] < doc_id)
 
@@ -269,7 +279,7 @@ def _cut(removal: Removal, text: Column, windows: Column, key: Column) -> Column
         if remove is not None:
             every = np.arange(len(words) - WINDOW + 1)
             listed = np.asarray(remove, dtype=np.int64).view(np.uint64)
-            found.append(np.flatnonzero(np.isin(window_hashes(words, every, FIRST_KEYS), listed)))
+            found.append(np.flatnonzero(np.isin(window_hashes(words, every)[0], listed)))
         if table is not None and doc_id is not None:
             _, often = sketch.value.estimated(anchors(words))
             at = np.flatnonzero(often)
