@@ -13,11 +13,13 @@ from hybridlake.llm.substrings import op10_substrings
 from hybridlake.llm.token_counts import op6_token_counts
 from hybridlake.llm.toxicity import op3_toxicity
 from hybridlake.llm.urls import OP9_SQL, op9_url_filter
+from hybridlake.llm.whitening import op12_whitening
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints, "op2_sentencepiece": op2_sentencepiece, "op3_toxicity": op3_toxicity,
     "op4_licenses": op4_licenses, "op5_simhash": op5_simhash, "op6_token_counts": op6_token_counts,
     "op7_mixing": op7_mixing, "op8_neighbours": op8_neighbours, "op9_url_filter": op9_url_filter,
-    "op10_substrings": op10_substrings, "op13_decontamination": op13_decontamination,
+    "op10_substrings": op10_substrings, "op12_whitening": op12_whitening,
+    "op13_decontamination": op13_decontamination,
 }
 SQL = {"op7_mixing": OP7_SQL, "op9_url_filter": OP9_SQL}
