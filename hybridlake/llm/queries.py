@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from hybridlake.llm.alignment import op11_alignment
 from hybridlake.llm.decontamination import op13_decontamination
 from hybridlake.llm.licenses import op4_licenses
 from hybridlake.llm.minhash import op1_fingerprints
@@ -19,7 +20,7 @@ QUERIES = {
     "op1_fingerprints": op1_fingerprints, "op2_sentencepiece": op2_sentencepiece, "op3_toxicity": op3_toxicity,
     "op4_licenses": op4_licenses, "op5_simhash": op5_simhash, "op6_token_counts": op6_token_counts,
     "op7_mixing": op7_mixing, "op8_neighbours": op8_neighbours, "op9_url_filter": op9_url_filter,
-    "op10_substrings": op10_substrings, "op12_whitening": op12_whitening,
+    "op10_substrings": op10_substrings, "op11_alignment": op11_alignment, "op12_whitening": op12_whitening,
     "op13_decontamination": op13_decontamination,
 }
 SQL = {"op7_mixing": OP7_SQL, "op9_url_filter": OP9_SQL}
