@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -30,10 +30,14 @@ from hybridlake.llm.texts import documents, fresh
 MARKER = "▁"
 #: Both tokenizers start a new token at such a space.
 CUT = re.compile(r"(?<=[^ ]) (?=\S)")
+#: A space that is no cut.
+NOT_PLAIN = re.compile(r" (?:\s|\Z)")
 #: Chunks of one step of merge_asof. A longer text is aligned in parts that end at cuts.
 STEP_CHUNKS = 200_000
 #: Chunks that one task remembers, if not longer than CHUNK_LENGTH; beyond that it starts anew.
 HELD_CHUNKS, CHUNK_LENGTH = 150_000, 48
+#: Distinct chunks that are encoded as one text.
+RUN_CHUNKS = 512
 #: Linked pairs whose counts are broadcast (24 bytes each).
 HOT_PAIRS = 1 << 18
 _DOC_BITS = 40  # byte offsets of one text below 2^40
@@ -60,6 +64,22 @@ class Side:
         #: Decimal ids with the mark that may follow them.
         self.names = {mark: np.array([f"{i}{mark}" for i in range(size)], dtype=object) for mark in ",|;"}
 
+    def encode_runs(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of each chunk, from texts of many chunks cut where a chunk ends."""
+        out: list[list[int]] = []
+        for at in range(0, len(chunks), RUN_CHUNKS):
+            run = chunks[at:at + RUN_CHUNKS]
+            (ids,) = self.encode([" ".join(run)])
+            sizes = np.cumsum([len(c.encode()) + 1 for c in run])
+            ends = np.cumsum(self.lengths[ids]) if ids else np.zeros(0, dtype=np.int64)
+            cuts = np.searchsorted(ends, sizes)
+            if len(ids) and cuts[-1] == len(ids) - 1 and (ends[cuts] == sizes).all():
+                cuts = [0, *(cuts + 1).tolist()]
+                out += [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+            else:  # a chunk lost bytes
+                out += self.encode(run)
+        return out
+
     def joined(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
@@ -126,23 +146,35 @@ class Chunks(dict):
     def of(self, text: str | None) -> list[str]:
         if not text:
             return []
-        return CUT.split(text) if self.cuts else [text]
+        if not self.cuts:
+            return [text]
+        return CUT.split(text) if text[0] == " " or NOT_PLAIN.search(text) else text.split(" ")
 
-    def learn(self, texts: list[list[str]]) -> None:
-        """Encode the chunks not seen yet, each once."""
+    def learn(self, chunks: Iterable[str]) -> list[str]:
+        """Encode the chunks not seen yet, each once; returns those that are not to be remembered."""
         if len(self) > HELD_CHUNKS:
             self.clear()
             self.broken.clear()
-        new = list(set(chain.from_iterable(texts)).difference(self))
-        for chunk, a, b in zip(new, self.a.encode(new), self.b.encode(new)):
-            self[chunk] = a, b
-            whole = b" " + chunk.encode()
-            if self.a.joined(a) != whole or self.b.joined(b) != whole:
-                self.broken.add(chunk)
-
-    def forget_long(self, texts: list[list[str]]) -> None:
-        for chunk in set(c for c in chain.from_iterable(texts) if len(c) > CHUNK_LENGTH):
-            self.pop(chunk, None)
+        new = set(chunks).difference(self)
+        # Joined by spaces, these are cut apart again by either side.
+        plain = [c for c in new if c[0] > " " and c[-1] != " " and not c[0].isspace()] if self.cuts else []
+        self._hold(plain, self.a.encode_runs(plain), self.b.encode(plain))
+        odd = list(new.difference(plain))
+        self._hold(odd, self.a.encode(odd), self.b.encode(odd))
+        return [c for c in new if len(c) > CHUNK_LENGTH]
+
+    def _hold(self, new: list[str], a: list[list[int]], b: list[list[int]]) -> None:
+        self.update(zip(new, zip(a, b)))
+        for side_, ids in ((self.a, a), (self.b, b)):
+            for at in range(0, len(new), RUN_CHUNKS):
+                run = new[at:at + RUN_CHUNKS]
+                given = side_.joined(list(chain.from_iterable(ids[at:at + RUN_CHUNKS])))
+                if given != "".join([" " + c for c in run]).encode():
+                    self.broken.update(c for c, i in zip(run, ids[at:]) if side_.joined(i) != b" " + c.encode())
+
+    def forget(self, chunks: list[str]) -> None:
+        for chunk in chunks:
+            del self[chunk]
             self.broken.discard(chunk)
 
 
@@ -187,24 +219,32 @@ def overlaps(doc_a: np.ndarray, start_a: np.ndarray, doc_b: np.ndarray, start_b:
             np.concatenate([into_b["b"].to_numpy(), inside["b"].to_numpy()]))
 
 
-def _offsets(ids: list[list[int]], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(id, document, start, end) of all tokens; offsets count from the start of each document."""
-    counts = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-    flat = np.fromiter(chain.from_iterable(ids), dtype=np.int64, count=int(counts.sum()))
-    doc = np.repeat(np.arange(len(ids)), counts)
-    end = np.cumsum(lengths[flat])
+def _gathered(lists: list[list[int]], codes: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all chunks (numbers into ``lists``) in order, and how many each document has."""
+    sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+    flat = np.fromiter(chain.from_iterable(lists), dtype=np.int32, count=int(sizes.sum()))
+    taken = sizes[codes]
+    first = (np.cumsum(sizes) - sizes)[codes] - (np.cumsum(taken) - taken)
+    ids = flat[np.repeat(first, taken) + np.arange(int(taken.sum()))]
+    return ids, np.bincount(doc, weights=taken, minlength=docs).astype(np.int64)
+
+
+def _offsets(ids: np.ndarray, counts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, end) of all tokens; offsets count from the start of each document."""
+    size = lengths[ids]
+    end = np.cumsum(size)
     before = np.concatenate([[0], end])[np.cumsum(counts) - counts]
     end -= np.repeat(before, counts)
-    return flat, doc, end - lengths[flat], end
+    return np.repeat(np.arange(len(counts)), counts), end - size, end
 
 
-def align_batch(a: Side, b: Side, ids_a: list[list[int]], ids_b: list[list[int]]) -> list[Aligned]:
-    """Alignment of each document; both sides of a document cover the same bytes."""
-    fa, da, sa, ea = _offsets(ids_a, a.lengths)
-    fb, db, sb, eb = _offsets(ids_b, b.lengths)
+def align_batch(a: Side, b: Side, fa: np.ndarray, n_a: np.ndarray, fb: np.ndarray, n_b: np.ndarray) -> list[Aligned]:
+    """Alignment of each document: its ids in order and how many they are, on both sides over the same bytes."""
+    da, sa, ea = _offsets(fa, n_a, a.lengths)
+    db, sb, eb = _offsets(fb, n_b, b.lengths)
     if not len(fa):
-        return [NOTHING] * len(ids_a)
-    docs = np.arange(len(ids_a) + 1)
+        return [NOTHING] * len(n_a)
+    docs = np.arange(len(n_a) + 1)
     first_a, first_b = np.searchsorted(da, docs), np.searchsorted(db, docs)
 
     # Groups end where tokens of both sides end.
@@ -230,28 +270,32 @@ def align_batch(a: Side, b: Side, ids_a: list[list[int]], ids_b: list[list[int]]
     at, bt = overlaps(da, sa, db, sb)
     wide = len(b.bytes)
     span = len(a.bytes) * wide
-    keys, counts = np.unique(da[at] * span + fa[at] * wide + fb[bt], return_counts=True)
+    keys, counts = np.unique(da[at] * span + fa[at].astype(np.int64) * wide + fb[bt], return_counts=True)
     first_pair = np.searchsorted(keys, docs * span)
     keys %= span
     pairs = ((keys // wide) << 32) | (keys % wide)
-    n_links = np.bincount(da[at], minlength=len(ids_a))
+    n_links = np.bincount(da[at], minlength=len(n_a))
     return [Aligned(int(first_a[d + 1] - first_a[d]), int(first_b[d + 1] - first_b[d]), int(n_groups[d + 1] - n_groups[d]),
                     int(n_links[d]), "".join(names[first_name[d]:first_name[d + 1]].tolist())[:-1],
                     pairs[first_pair[d]:first_pair[d + 1]], counts[first_pair[d]:first_pair[d + 1]])
-            for d in range(len(ids_a))]
+            for d in range(len(n_a))]
 
 
 def align_texts(chunks: Chunks, texts: list[str | None]) -> Iterator[Aligned]:
     """Alignment of each text, in steps of about STEP_CHUNKS chunks; a longer text is aligned part by part."""
     def step(parts: list[list[str]]) -> list[Aligned]:
-        chunks.learn(parts)
+        flat = list(chain.from_iterable(parts))
+        number = {chunk: n for n, chunk in enumerate(dict.fromkeys(flat))}
+        long = chunks.learn(number)
         if chunks.broken:
             parts = [[] if not chunks.broken.isdisjoint(p) else p for p in parts]
-        got = [list(map(chunks.__getitem__, p)) for p in parts]
-        ids = [[list(chain.from_iterable(c[s] for c in g)) for g in got] for s in (0, 1)]
-        out = align_batch(chunks.a, chunks.b, *ids)
-        chunks.forget_long(parts)
-        return out
+            flat = list(chain.from_iterable(parts))
+        codes = np.fromiter(map(number.__getitem__, flat), dtype=np.int64, count=len(flat))
+        doc = np.repeat(np.arange(len(parts)), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)))
+        sides = zip(*map(chunks.__getitem__, number)) if number else ((), ())
+        ids = [x for lists in sides for x in _gathered(lists, codes, doc, len(parts))]
+        chunks.forget(long)
+        return align_batch(chunks.a, chunks.b, *ids)
 
     held: list[list[str]] = []
     n = 0
