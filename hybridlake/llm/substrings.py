@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hybridlake.llm.stored import stored
-from hybridlake.llm.texts import WordHashes, ascii_words, byte_slices, documents, mixed, odd_numbers
+from hybridlake.llm.texts import ascii_words, byte_slices, documents, hashed_words, mixed, odd_numbers, spaced
 
 WINDOW = 13
 ANCHOR = 5
@@ -85,10 +85,10 @@ def partial_sketches(docs: DataFrame, width: int, text: str) -> DataFrame:
     """``(block, cells)``: the cells one document each adds to, as 16-bit numbers inside a block of the sketch."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = WordHashes(), [], 0
+        held, size = [], 0
         for batch in batches:
-            for body in batch.column(0):
-                found = np.unique(anchors(hashes.of(ascii_words(body.as_py()))))
+            for words in hashed_words(batch.column(0)):
+                found = np.unique(anchors(words))
                 if len(found):
                     held.append(found)
                     size += len(found)
@@ -167,13 +167,13 @@ def repeated_windows(docs: DataFrame, sketch: Broadcast, text: str, hot: bool) -
     or more; only those estimated in HOT or more, or only the others. 96 bits stand for a window's word sequence."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, table = WordHashes(), sketch.value
+        table = sketch.value
         for batch in batches:
-            ids = batch.column(0)
+            ids, hashed = batch.column(0), hashed_words(batch.column(1))
             for part in byte_slices(batch.column(1)):
                 columns: list[list[np.ndarray]] = [[], [], []]
                 for i in range(part.start, part.stop):
-                    words = hashes.of(ascii_words(batch.column(1)[i].as_py()))
+                    words = next(hashed)
                     twice, often = table.estimated(anchors(words))
                     at = np.flatnonzero(often if hot else twice & ~often)
                     if len(at):
@@ -288,17 +288,18 @@ def _cut(removal: Removal, text: Column, windows: Column, key: Column) -> Column
 
     @F.pandas_udf("n_words long, n_removed long, kept string")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        hashes, table = WordHashes(), hot.value if hot else None
+        table = hot.value if hot else None
         for texts, removals, keys in batches:
             rows = []
-            for body, remove, doc_id in zip(texts, removals, keys):
-                words = left = ascii_words(body)
-                if len(words) >= WINDOW and (remove is not None or table is not None):
-                    hashed = hashes.of(words)
+            for body, hashed, remove, doc_id in zip(texts, hashed_words(pa.array(texts, pa.string(), from_pandas=True)), removals, keys):
+                n, lost, kept = len(hashed), 0, None
+                if n >= WINDOW and (remove is not None or table is not None):
                     hit = starts(hashed, remove, table, int(doc_id) if doc_id else None)
                     if len(hit):
-                        left = [w for w, g in zip(words, covered(hashed, hit).tolist()) if not g]
-                rows.append((len(words), len(words) - len(left), b" ".join(left).decode("utf-8")))
+                        gone = covered(hashed, hit)
+                        lost = int(gone.sum())
+                        kept = b" ".join([w for w, g in zip(ascii_words(body), gone.tolist()) if not g]).decode("utf-8")
+                rows.append((n, lost, (spaced(body, n) if n else "") if kept is None else kept))
             yield pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])
 
     # Keys travel as text: a NULL among long values would turn a pandas column into doubles, which lose large ids.

@@ -88,3 +88,82 @@ def odd_numbers(n: int, seed: int) -> np.ndarray:
     """``n`` odd 64-bit multipliers, the same in every run."""
     rng = np.random.Generator(np.random.PCG64(seed))
     return rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+#: Bytes of a word that have a key of their own; longer words are hashed one by one.
+KEYED_BYTES = 64
+#: Bytes hashed in one step.
+HASHED_BYTES = 1 << 20
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_PLACE_KEYS = odd_numbers(KEYED_BYTES, 21)
+
+
+def _word_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts that lie one behind the other, and which words are whose."""
+    inside = ~_SPACE[data]
+    begin = inside.copy()
+    begin[1:] &= ~inside[:-1]
+    first = cuts[:-1][cuts[:-1] < len(data)]
+    begin[first] = inside[first]
+    starts = np.flatnonzero(begin)
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(cuts), dtype=np.int64)
+    reach = np.diff(starts, append=len(data))
+    base = starts[0]
+    place = np.arange(base, len(data), dtype=np.int64) - np.repeat(starts, reach)
+    np.minimum(place, KEYED_BYTES - 1, out=place)
+    value = (data[base:].astype(np.uint64) + np.uint64(1)) * inside[base:]
+    hashes = np.add.reduceat(value * _PLACE_KEYS[place], starts - base)
+    sizes = np.add.reduceat(inside[base:].astype(np.int64), starts - base)
+    for i in np.flatnonzero(sizes > KEYED_BYTES).tolist():
+        hashes[i] = xxhash.xxh64_intdigest(data[starts[i]:starts[i] + sizes[i]].tobytes())
+    return mixed(hashes), np.searchsorted(starts, cuts)
+
+
+def hashed_words(texts: pa.Array) -> Iterator[np.ndarray]:
+    """For every text the 64-bit hashes of its words, ``[^\\x20\\x09-\\x0D]+``, in order; none for NULL.
+
+    Bytes are weighed by odd keys of their place in the word, added up where they lie, and mixed; no word becomes an
+    object. Memory is bounded by the step, also for one long text.
+    """
+    if not len(texts):
+        return
+    texts = texts.cast(pa.large_string())
+    _, offsets, buffer = texts.buffers()
+    cuts = np.frombuffer(offsets, dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(buffer, dtype=np.uint8) if buffer else np.zeros(0, dtype=np.uint8)
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(cuts, cuts[at] + HASHED_BYTES, "right")) - 1)
+        part = data[cuts[at]:cuts[end]]
+        if len(part) <= HASHED_BYTES:
+            hashes, first = _word_hashes(part, cuts[at:end + 1] - cuts[at])
+            for a, b in zip(first.tolist(), first[1:].tolist()):
+                yield hashes[a:b]
+        else:  # one long text, cut at white space
+            found, begin = [], 0
+            while begin < len(part):
+                stop = begin + HASHED_BYTES
+                while stop < len(part):
+                    spaces = np.flatnonzero(_SPACE[part[stop:stop + HASHED_BYTES]])
+                    if len(spaces):
+                        stop += int(spaces[0])
+                        break
+                    stop += HASHED_BYTES
+                stop = min(stop, len(part))
+                found.append(_word_hashes(part[begin:stop], np.array([0, stop - begin]))[0])
+                begin = stop
+            yield np.concatenate(found)
+        at = end
+
+
+def spaced(text: str, n_words: int) -> str:
+    """The words of a text joined by one space."""
+    data = text.encode("utf-8").translate(_TO_SPACE)
+    if len(data) and data.count(b" ") == n_words - 1:  # one separator between any two words
+        return data.decode("utf-8")
+    return b" ".join(data.split()).decode("utf-8")
+
+
+_TO_SPACE = bytes(0x20 if _SPACE[b] else b for b in range(256))
