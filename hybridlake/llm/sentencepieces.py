@@ -16,7 +16,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from hybridlake.llm.texts import CACHED_LENGTH, CACHED_WORDS, byte_slices, documents, fresh
+from hybridlake.llm.texts import CACHED_LENGTH, CACHED_WORDS, byte_slices, documents, fresh, trimmed
 
 MARKER = "▁"
 CHUNK = re.compile(" *[^ ]+| +")
@@ -93,7 +93,7 @@ def encode_decode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = chunk_table(model)
-        for batch in stream:
+        for batch in trimmed(stream, table):
             at = batch.schema.get_field_index(source)
             texts = batch.column(at).to_pylist()
             rest = [i for i in range(batch.num_columns) if i != at]

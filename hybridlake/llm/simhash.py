@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hybridlake.llm.components import components
 from hybridlake.llm.stored import stored
-from hybridlake.llm.texts import ascii_words, documents
+from hybridlake.llm.texts import ascii_words, documents, trimmed
 
 BYTES = 8
 SEED = 42
@@ -55,7 +55,7 @@ def fingerprint(text: Column | str, words: int = 3) -> Column:
 
     @F.pandas_udf("long")
     def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+        for texts in trimmed(batches):
             yield pd.Series(np.array([fingerprint_of(t, words) for t in texts], dtype=np.uint64).view(np.int64))
 
     return prints(text)
@@ -116,30 +116,36 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3, key: str
     least fingerprint of the component, ``component_id`` its smallest key; NULL keys count only where a component
     has no other. Repeated rows stay as they are. Texts without words share fingerprint 0.
     """
+    prints = docs.select(F.col(key).alias("doc_id"), fingerprint(text, words).alias("fp"))
+    return _components_of(stored(prints, "prints"), max_bits).select("doc_id", "fp", "root", "component_id")
+
+
+def _components_of(table: DataFrame, max_bits: int) -> DataFrame:
+    """``table`` (doc_id, fp, ...; stored) with the root and the component_id of each fingerprint."""
     if not 0 <= max_bits <= 7:
         raise ValueError("max_bits is 0 to 7")
-    table = stored(docs.select(F.col(key).alias("doc_id"), fingerprint(text, words).alias("fp")), "prints")
     classes = stored(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "print-classes")
     roots = components(linked(classes.select("fp"), max_bits)).withColumnRenamed("vertex", "fp")
     rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     members = rooted.select("fp", "root").join(least, "root")
-    return table.join(members, "fp").select("doc_id", "fp", "root", "component_id")
+    return table.join(members, "fp")
 
 
 def representatives(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataFrame:
     """One row of ``docs`` for each component: the one with its smallest doc_id, whole and with all its columns.
 
-    Of rows that repeat this doc_id and fingerprint, and of components without any doc_id, one row stays.
+    Of rows that repeat this doc_id, and of components without any doc_id, one row stays: that with the least
+    fingerprint and digest of its text. Each text is fingerprinted once; rows are found again by doc_id and digest.
     """
-    found = near_duplicates(docs, words, max_bits)
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    prints = stored(docs.select("doc_id", fingerprint("text", words).alias("fp"), digest.alias("digest")), "prints")
     keep = (
-        found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("keep"))
+        _components_of(prints, max_bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .groupBy("root").agg(F.min(F.struct("doc_id", "fp", "digest")).alias("k"))
+        .select(F.struct("k.doc_id", "k.digest").alias("keep"))
     )
-    rows = docs.select(
-        F.struct(*docs.columns).alias("doc"),
-        F.struct(F.col("doc_id"), fingerprint("text", words).alias("fp")).alias("row"))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.struct(F.col("doc_id"), digest.alias("digest")).alias("row"))
     kept = rows.join(keep, rows["row"] == keep["keep"], "left_semi")
     return kept.groupBy("row").agg(F.min_by("doc", F.xxhash64("doc.text")).alias("doc")).select("doc.*")
 

@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hybridlake.llm.stored import stored
-from hybridlake.llm.texts import ascii_words, byte_slices, documents, hashed_words, mixed, odd_numbers, spaced
+from hybridlake.llm.texts import ascii_words, byte_slices, documents, hashed_words, mixed, odd_numbers, spaced, trimmed
 
 WINDOW = 13
 ANCHOR = 5
@@ -86,7 +86,7 @@ def partial_sketches(docs: DataFrame, width: int, text: str) -> DataFrame:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in batches:
+        for batch in trimmed(batches):
             for words in hashed_words(batch.column(0)):
                 found = np.unique(anchors(words))
                 if len(found):
@@ -168,7 +168,7 @@ def repeated_windows(docs: DataFrame, sketch: Broadcast, text: str, hot: bool) -
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sketch.value
-        for batch in batches:
+        for batch in trimmed(batches):
             ids, hashed = batch.column(0), hashed_words(batch.column(1))
             for part in byte_slices(batch.column(1)):
                 columns: list[list[np.ndarray]] = [[], [], []]
@@ -289,7 +289,7 @@ def _cut(removal: Removal, text: Column, windows: Column, key: Column) -> Column
     @F.pandas_udf("n_words long, n_removed long, kept string")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         table = hot.value if hot else None
-        for texts, removals, keys in batches:
+        for texts, removals, keys in trimmed(batches):
             rows = []
             for body, hashed, remove, doc_id in zip(texts, hashed_words(pa.array(texts, pa.string(), from_pandas=True)), removals, keys):
                 n, lost, kept = len(hashed), 0, None

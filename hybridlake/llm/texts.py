@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -42,6 +44,24 @@ def byte_slices(texts: Sequence[str | None], most: int = SLICE_BYTES) -> Iterato
         yield slice(start, len(texts))
 
 
+def trimmed(batches: Iterator, held: dict | None = None) -> Iterator:
+    """``batches``, and at the end of the partition give what they took back to the system, with the entries of ``held``.
+
+    Python workers serve one partition after the other; what one leaves behind would count against the next.
+    """
+    try:
+        yield from batches
+    finally:
+        if held is not None:
+            held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library
+            pass
+
+
 def ascii_words(text: str | None, lower: bool = False) -> list[bytes]:
     """The runs of ``[^\\x20\\x09-\\x0D]`` as UTF-8, with A-Z lower-cased on demand; none for NULL."""
     if not text:

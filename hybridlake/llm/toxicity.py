@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hybridlake.llm.stored import stored
-from hybridlake.llm.texts import CACHED_LENGTH, CACHED_WORDS, documents
+from hybridlake.llm.texts import CACHED_LENGTH, CACHED_WORDS, documents, trimmed
 
 ORDER = 4            # letters of a subsequence
 SPAN = 8             # most characters it may stretch over
@@ -329,7 +329,7 @@ def toxicity(spark: SparkSession, model: Model | None, text: Column | str) -> Co
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(table.value) if table.value else None
-        for texts in batches:
+        for texts in trimmed(batches, scorer.known if scorer else None):
             yield pd.Series([scorer.model.score(b) for b in scorer.best(texts.tolist())] if scorer else [0.0] * len(texts), dtype="float64")
 
     return score(text)
