@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import importlib.util
 import os
 import sys
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -16,16 +16,21 @@ from hybridlake import fixtures as fx  # noqa: E402
 from hybridlake.functions.text import clean, source_type  # noqa: E402
 from hybridlake.operators import chunks, evaluate, graph, hybrid, records, routing, search, structured, summaries  # noqa: E402
 from hybridlake.operators.aggregates import partials, record_rollup  # noqa: E402
-from hybridlake.plans import answer  # noqa: E402
+from hybridlake.operators.text_index import TextIndex  # noqa: E402
+from hybridlake.operators.vector_index import Centres, VectorIndex  # noqa: E402
+from hybridlake.plans import answer, ingest  # noqa: E402
+from hybridlake.schemas import RECORD_FILE_COLUMNS, SUMMARY_SOURCE  # noqa: E402
 from hybridlake.session import work_dir  # noqa: E402
 from hybridlake.sources import store  # noqa: E402
+from hybridlake.sources.records import load_records  # noqa: E402
 from hybridlake.streaming import ingest as stream  # noqa: E402
 
-#: The training-data operators, in a subpackage that may be absent.
-LLM = importlib.util.find_spec("hybridlake.llm") is not None and importlib.util.find_spec("corpus_pipeline") is not None
-if LLM:
+#: The training-data operators, in a subpackage that may be absent or lack its libraries.
+try:
     import corpus_pipeline
     from hybridlake.llm import queries as llm
+except ImportError:
+    llm = None
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +61,30 @@ def record_chunks(spark, d):
     )
 
 
+def _record_files(spark, d):
+    """The records as two folders of CSV files: up to 2018, and all years with another header order and a note in it."""
+    rows, folder = fx.tax_records(spark, d), work_dir(spark, "record-files")
+    early, late = f"{folder}/early", f"{folder}/late"
+    titles = list(RECORD_FILE_COLUMNS)
+    note = F.concat(F.lit('say "'), F.col("state"), F.lit('",\n'), F.col("deduction_type"))
+    fx.write_record_files(rows.where(F.col("tax_year") <= 2018), early, titles)
+    fx.write_record_files(rows.where(F.col("tax_year") > 2018), late, ["Note", *reversed(titles)], note)
+    return early, late
+
+
+def records_roundtrip(spark, d):
+    """Records written as CSV in two layouts, one with line breaks inside quotes, and loaded again."""
+    return records.record_params(load_records(spark, list(_record_files(spark, d)))).drop("id")
+
+
+def ingest_two_loads(spark, d):
+    """The summaries after two loads, one folder after the other."""
+    lake = ingest.Lake(spark, work_dir(spark, "lake"))
+    for folder in _record_files(spark, d):
+        ingest.ingest(spark, folder, lake, skip_graph=True, skip_index=True)
+    return lake.read_chunks().where(F.col("source") == SUMMARY_SOURCE).select("id", "text")
+
+
 def source_types(spark, d):
     return fx.doc_pages(spark, d).select("filename").distinct().select(
         "filename", source_type(F.col("filename")).alias("source_type")
@@ -154,9 +183,11 @@ def vector_topk(spark, d):
 
 
 def ann_topk(spark, d):
-    vectors = fx.vectors(spark, d)
-    cells = search.Cells.train(vectors, 16)
-    return search.with_threshold(search.ann_topk(vectors, _centroids(spark, d), cells, 12, TOP))
+    """The labels' mean vectors against an index whose cells lie around the same vectors; one cell of ten is probed."""
+    asked = _centroids(spark, d)
+    centres = Centres.of(np.array([r["embedding"] for r in asked.orderBy("qid").collect()]))  # one row per label
+    index = VectorIndex.build(fx.vectors(spark, d), work_dir(spark, "vector-index"), centres)
+    return search.with_threshold(index.search(asked, 1, TOP))
 
 
 def _text_corpus(spark, d):
@@ -171,6 +202,12 @@ def text_topk(spark, d):
     return search.with_threshold(search.text_topk(_text_corpus(spark, d), fx.text_queries(spark, d), k=TOP))
 
 
+def text_topk_many(spark, d):
+    """Every sentence of the conversations against a stored index of the documents."""
+    index = TextIndex.build(spark, _text_corpus(spark, d), work_dir(spark, "text-index"))
+    return search.with_threshold(index.search(fx.sentence_queries(spark, d), TOP))
+
+
 def search_filtered(spark, d):
     return search.with_threshold(
         search.text_topk(_text_corpus(spark, d), fx.text_queries(spark, d), k=TOP, source_type="en")
@@ -208,6 +245,16 @@ def hybrid_context(spark, d):
     return _contexts(spark, d).select("qid", "route", "context", "n_hits", "graph_used", "context_chunks")
 
 
+def hybrid_context_dense(spark, d):
+    """Contexts from text and vector hits together; a vector holds the letter counts of a text."""
+    embed = search.embedder(fx.letter_counts)
+    stored = store.materialize(all_chunks_of(spark, d), "chunks")
+    vectors = store.VectorStore(spark, work_dir(spark, "vectors"))
+    vectors.add(stored, embed)
+    contexts = answer.answer(fx.questions(spark, d), stored, _rollup(spark, d), embed=embed, vectors=vectors.read())
+    return contexts.select("qid", "route", "context", "n_hits", "graph_used", "context_chunks")
+
+
 def eval_verdicts(spark, d):
     return evaluate.evaluate(fx.eval_items(spark, d), fx.answers(spark, d))
 
@@ -225,6 +272,8 @@ def queries() -> dict[str, Query]:
         "record_params": lambda s, d: records.record_params(fx.tax_records(s, d)),
         "record_text": lambda s, d: records.record_texts(fx.tax_records(s, d)),
         "record_chunks": record_chunks,
+        "records_roundtrip": records_roundtrip,
+        "ingest_two_loads": ingest_two_loads,
         "source_types": source_types,
         "questions_rejected": lambda s, d: hybrid.rejected_questions(fx.questions(s, d)),
         "chunks_new_only": chunks_new_only,
@@ -255,12 +304,14 @@ def queries() -> dict[str, Query]:
         "vector_topk": vector_topk,
         "ann_topk": ann_topk,
         "text_topk": text_topk,
+        "text_topk_many": text_topk_many,
         "search_filtered": search_filtered,
         "vector_blocks": vector_blocks,
         "question_entities": question_entities,
         "question_routes": question_routes,
         "graph_blocks": lambda s, d: routing.graph_blocks(_rollup(s, d)),
         "hybrid_context": hybrid_context,
+        "hybrid_context_dense": hybrid_context_dense,
         "answer_sources": lambda s, d: hybrid.source_rows(_contexts(s, d)),
         "prompts": lambda s, d: hybrid.with_prompt(_contexts(s, d)).select("qid", "prompt"),
         "eval_keywords": lambda s, d: eval_verdicts(s, d).select(
@@ -268,10 +319,10 @@ def queries() -> dict[str, Query]:
         ),
         "eval_by_category": lambda s, d: evaluate.pass_rates(eval_verdicts(s, d)),
         "stream_ingest": stream_ingest,
-        **({**llm.QUERIES, "pipeline": corpus_pipeline.run} if LLM else {}),
+        **({**llm.QUERIES, "pipeline": corpus_pipeline.run} if llm else {}),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """For each query, SQL that DuckDB runs on the same tables."""
-    return {**oracles.oracle_sql(), **(llm.SQL if LLM else {})}
+    return {**oracles.oracle_sql(), **(llm.SQL if llm else {})}

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hybridlake.functions.columns import fill, strip, words
-from hybridlake.schemas import INCOME_SOURCES, MONEY, RATE, STATES
+from hybridlake.schemas import INCOME_SOURCES, RATE, RECORD_FILE_COLUMNS, STATES
 
 # How the test tables' vocabularies map to the record vocabularies.
 SEGMENT_TYPE = {
@@ -21,6 +22,7 @@ PRIORITY_DEDUCTION = {
     "4-NOT SPECIFIED": "Education Expenses", "5-LOW": "Medical Expenses",
 }
 YEAR_SHIFT = 20
+MONEY = "decimal(18,6)"  # enough for the test tables' prices
 FILE_PREFIXES = ["slides_", "i1040_", "usc_", "report_"]
 
 # Question texts by order key modulo 10.
@@ -161,6 +163,29 @@ def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("message"))
 
 
+def letter_counts():
+    """A deterministic stand-in for a model: how often each letter from a to z stands in a text."""
+    letters = [chr(c) for c in range(ord("a"), ord("z") + 1)]
+
+    def model(texts: list[str]) -> np.ndarray:
+        return np.array([[t.count(c) + t.count(c.upper()) for c in letters] for t in texts], dtype=np.float32)
+
+    return model
+
+
+def sentence_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct sentence of all conversation turns, as its own message."""
+    turns = table(spark, sf_dir, "conversations")
+    parts = turns.select(F.explode(F.split("text", r"[.\n]")).alias("message"))
+    return parts.select(strip(F.col("message")).alias("message")).where(F.col("message") != "").distinct().select(F.col("message").alias("qid"), "message")
+
+
+def write_record_files(records: DataFrame, path: str, titles: list[str], note: Column | None = None) -> None:
+    """Records as CSV files with a header in the order of ``titles``, some of which may be no record columns."""
+    columns = [F.col(RECORD_FILE_COLUMNS[t]).alias(t) if t in RECORD_FILE_COLUMNS else note.alias(t) for t in titles]
+    records.select(*columns).write.option("header", True).option("escape", '"').csv(path)
+
+
 def text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
 
@@ -172,19 +197,16 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One item per conversation: the first user turn, its first three words as the keywords."""
+    """One item per user turn of all conversations: its words are the keywords."""
     turns = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
-    first = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"))
-    return first.select(
-        F.col("conv_id").cast("string").alias("id"), "question",
-        F.slice(words(F.col("question")), 1, 3).alias("expected_contains"),
+    return turns.select(
+        F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("question"),
+        words(F.col("text")).alias("expected_contains"),
         F.concat(F.lit("cat"), (F.col("conv_id") % 5).cast("string")).alias("category"),
     )
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first assistant turn of each conversation."""
+    """The assistant turn that follows each user turn."""
     turns = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
-    return turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("answer")).select(
-        F.col("conv_id").cast("string").alias("id"), "answer"
-    )
+    return turns.select(F.concat_ws("-", F.col("conv_id"), F.col("turn") - 1).alias("id"), F.col("text").alias("answer"))

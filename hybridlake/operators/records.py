@@ -19,8 +19,11 @@ def valid_records(records: DataFrame) -> DataFrame:
 
 
 def content_hash(columns: list[str] = CONTENT):
-    """SHA-256 over the columns; NULL and the empty text differ."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns]), 256)
+    """SHA-256 over the columns. Each value stands behind its length, so no two rows give the same text; NULL has none."""
+    def field(name: str):
+        text = F.col(name).cast("string")
+        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+    return F.sha2(F.concat(*[field(c) for c in columns]), 256)
 
 
 def with_record_ids(records: DataFrame) -> DataFrame:

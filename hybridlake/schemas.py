@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-MONEY = T.DecimalType(18, 6)
+MONEY = T.DecimalType(28, 6)  # sums of it have 38 digits
 RATE = T.DecimalType(9, 6)
 
 # ---------------------------------------------------------------------------

@@ -35,10 +35,20 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A new sub-folder of the shared folder named by ``spark.checkpoint.dir``.
 
-    Only a session that names none (tests on one machine) gets a temporary folder.
+    Only a local session that names none (tests on one machine) gets a temporary folder; on a cluster that is an error, as
+    executors would not share it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="hybridlake-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark)
     return f"{root.rstrip('/')}/hybridlake/{purpose}-{uuid.uuid4().hex}"
+
+
+_OWN: dict[str, str] = {}
+
+
+def _own_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="hybridlake-")
+    return _OWN[context.applicationId]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hybridlake.operators import graph
 from hybridlake.schemas import CHUNK
@@ -20,15 +22,15 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
 def first_of_id(chunks: DataFrame) -> DataFrame:
     """One chunk per id, the same one whatever the partitioning; copies are reduced before the shuffle."""
     values = [c for c in chunks.columns if c != "id"]
-    order = F.struct(*[c for c in values if c != "metadata"])
+    order = F.struct(*[F.array_sort(F.map_entries(c)).alias(c) if c == "metadata" else F.col(c) for c in values])
     return chunks.groupBy("id").agg(F.min_by(F.struct(*values), order).alias("_c")).select(
         "id", *[F.col(f"_c.{c}") for c in values]
     ).select(*chunks.columns)
 
 
 def new_chunks(chunks: DataFrame, existing: DataFrame) -> DataFrame:
-    """Chunks whose id is not stored yet; only the id column of the store is read."""
-    return first_of_id(chunks).join(existing.select("id"), "id", "left_anti")
+    """Chunks whose id is not stored yet; only the id column of the store is read. A chunk without an id is none."""
+    return first_of_id(chunks.where(F.col("id").isNotNull())).join(existing.select("id"), "id", "left_anti")
 
 
 class ChunkStore:
@@ -41,6 +43,11 @@ class ChunkStore:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
+    def remove(self) -> None:
+        """Delete the files."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def read(self) -> DataFrame:
         if not self.exists():
             return self.spark.createDataFrame([], CHUNK)
@@ -72,6 +79,49 @@ def store_counts(**tables: DataFrame) -> DataFrame:
     return counts.agg(*[pick(name) for name in tables])
 
 
+class VectorStore:
+    """Vectors of chunks beside their ids, made once when a chunk is new."""
+
+    SCHEMA = "id string, embedding array<float>"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self._files = spark, ChunkStore(spark, path)
+
+    def read(self) -> DataFrame:
+        if not self._files.exists():
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).parquet(self._files.path)
+
+    def add(self, chunks: DataFrame, embed: Callable[[Column], Column]) -> None:
+        """Embed and append the chunks (id, text) whose id has no vector yet; only they are embedded."""
+        new = chunks.select("id", "text").join(self.read().select("id"), "id", "left_anti")
+        new.select("id", embed(F.col("text")).cast("array<float>").alias("embedding")).write.mode("append").parquet(self._files.path)
+
+    def reset(self) -> None:
+        self._files.remove()
+
+
+class RejectStore:
+    """Rows that no load could use: (file, line, reason, n, kind), by kind; ``n`` is how often the line stands in the file."""
+
+    SCHEMA = "file string, line string, reason string, n bigint, kind string"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self._files = spark, ChunkStore(spark, path)
+
+    def read(self) -> DataFrame:
+        if not self._files.exists():
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).parquet(self._files.path)
+
+    def add(self, rows: DataFrame, kind: str) -> None:
+        """Append rows (file, line, reason). Loading a file again adds nothing."""
+        rows = rows.groupBy("file", "line", "reason").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(kind))
+        held = self.read()
+        same = [rows[c].eqNullSafe(held[c]) for c in ("kind", "file", "line", "reason")]
+        rows.join(held, same, "left_anti").write.mode("append").partitionBy("kind").parquet(self._files.path)
+
+
 class GraphStore:
     """Facts (by tax year), nodes and edges (by relation) as Parquet, so both prune on read."""
 

@@ -47,6 +47,11 @@ def mean(x: str) -> str:
     return f"(CAST(sum({x}) AS DOUBLE) / count({x}))"
 
 
+def hashed(*columns: str) -> str:
+    """The text behind a content hash: every value behind its length."""
+    return " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns)
+
+
 def strip(x: str) -> str:
     return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
@@ -347,8 +352,12 @@ SELECT * FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER
 
 PARTS["text_corpus"] = "SELECT doc_id AS id, text, source, lang AS source_type FROM documents"
 PARTS["text_queries"] = "SELECT item_id AS qid, text AS message FROM benchmark"
+PARTS["sentence_queries"] = f"""
+SELECT DISTINCT message AS qid, message FROM (SELECT {strip("unnest(string_split_regex(text, '[.\\n]'))")} AS message FROM conversations)
+WHERE message <> ''"""
 PARTS["message_queries"] = "SELECT message AS qid, message FROM messages"
 tfidf("t", "text_corpus", "text_queries")
+tfidf("m", "text_corpus", "sentence_queries")
 tfidf("h", "all_chunks", "message_queries")
 
 PARTS["hit_rows"] = """
@@ -369,6 +378,24 @@ SELECT *, contains(context, '[Graph Database') AS graph_used,
   CAST(length(context) - length(replace(context, '[', '')) - CASE WHEN contains(context, '[Graph Database') THEN 1 ELSE 0 END AS BIGINT) AS context_chunks
 FROM (SELECT *, coalesce(nullif(concat_ws(chr(10) || chr(10), graph_block, vector_block), ''), {quote(NOTHING_FOUND)}) AS context FROM context_parts)"""
 
+def letters(x: str) -> str:
+    return "[" + ", ".join(
+        f"CAST(length({x}) - length(replace(replace({x}, '{c}', ''), '{c.upper()}', '')) AS DOUBLE)" for c in map(chr, range(97, 123))) + "]"
+
+
+# The same contexts from text and vector scores together.
+PARTS["d_hits"] = f"""
+SELECT * FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
+  SELECT qid, id, max(score) AS score FROM (
+    SELECT s.qid, s.id, round(dot / qnorm / norm, 4) AS score FROM h_scores s JOIN h_norm USING (id) JOIN h_qn USING (qid)
+    UNION ALL
+    SELECT message, id, round(list_cosine_similarity(q, v), 4)
+    FROM (SELECT message, {letters('message')} AS q FROM messages), (SELECT id, {letters('text')} AS v FROM all_chunks))
+  GROUP BY 1, 2)) WHERE rank <= 20"""
+PARTS["d_hit_rows"] = PARTS["hit_rows"].replace("h_hits", "d_hits")
+PARTS["d_context_parts"] = PARTS["context_parts"].replace("hit_rows", "d_hit_rows")
+PARTS["d_contexts"] = PARTS["contexts"].replace("context_parts", "d_context_parts")
+
 PARTS["centroids"] = """
 SELECT label AS qid, list(m ORDER BY dim) AS q FROM (
   SELECT label, dim, avg(x) AS m FROM (
@@ -378,6 +405,13 @@ PARTS["v_scores"] = """
 SELECT qid, vec_id AS id, label, round(list_cosine_similarity(q, CAST(embedding AS DOUBLE[])), 4) AS score
 FROM centroids, embeddings"""
 
+_COSINE = "list_cosine_similarity({0}, {1})"
+PARTS["a_cells"] = f"""
+SELECT vec_id AS id, arg_max(qid, (similarity, -qid)) AS cell, any_value(v) AS v FROM (
+  SELECT vec_id, qid, v, {_COSINE.format('q', 'v')} AS similarity
+  FROM centroids, (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)) GROUP BY 1"""
+PARTS["a_scores"] = f"SELECT qid, id, round({_COSINE.format('q', 'v')}, 4) AS score FROM centroids JOIN a_cells ON cell = qid"
+
 
 def ranked(source: str, k: int, where: str = "true") -> str:
     return f"""SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT qid, id, score,
@@ -385,9 +419,8 @@ def ranked(source: str, k: int, where: str = "true") -> str:
 
 
 PARTS["eval_items"] = f"""
-SELECT conv_id AS id, question, ({words('question')})[1:3] AS expected, 'cat' || conv_id % 5 AS category
-FROM (SELECT conv_id, arg_min(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY 1)"""
-PARTS["answers"] = "SELECT conv_id AS id, arg_min(text, turn) AS answer FROM conversations WHERE role = 'assistant' GROUP BY 1"
+SELECT conv_id || '-' || turn AS id, {words('text')} AS expected, 'cat' || conv_id % 5 AS category FROM conversations WHERE role = 'user'"""
+PARTS["answers"] = "SELECT conv_id || '-' || (turn - 1) AS id, text AS answer FROM conversations WHERE role = 'assistant'"
 PARTS["verdicts"] = """
 SELECT CAST(i.id AS VARCHAR) AS id, category,
   array_to_string(list_filter(expected, lambda k: NOT contains(lower(coalesce(answer, '')), lower(k))), ' ') AS missing,
@@ -423,8 +456,8 @@ WHERE NOT (l_linenumber = 7 AND l_quantity < 5)""",
     "record_ids_unique": f"""
 SELECT count(*) AS n_records, count(DISTINCT id) AS n_ids, min(id) AS first_id, max(id) AS last_id FROM (
   SELECT h || '-' || row_number() OVER (PARTITION BY h) AS id FROM (
-    SELECT sha256(concat_ws('|', taxpayer_type, tax_year, transaction_date, income_source, deduction_type, state,
-      income, deductions, taxable_income, tax_rate, tax_owed)) AS h FROM tax_records))""",
+    SELECT sha256({hashed('taxpayer_type', 'tax_year', 'transaction_date', 'income_source', 'deduction_type', 'state', *MEASURES)}) AS h
+    FROM tax_records))""",
     "record_params": "SELECT id, taxpayer_type, tax_year, transaction_date, income_source, deduction_type, state, "
     + ", ".join(f"CAST({m} AS DOUBLE) AS {m}" for m in MEASURES) + " FROM tax_records",
     "record_text": "SELECT id, text FROM record_texts",
@@ -457,8 +490,13 @@ SELECT count(*) AS n_records, count(DISTINCT id) AS n_ids, min(id) AS first_id,
     "slide_chunks": "SELECT * FROM slide_chunks",
     "all_chunks": "SELECT id, text, source, source_type FROM all_chunks",
     "vector_topk": ranked("v_scores", 8),
+    "ann_topk": ranked("a_scores", 8),
     "search_filtered": ranked("(SELECT s.*, t.source, t.source_type FROM t_all s JOIN text_corpus t USING (id))", 8, "source_type = 'en'"),
     "text_topk": ranked("t_all", 8),
+    "text_topk_many": ranked("m_all", 8),
+    "records_roundtrip": "SELECT taxpayer_type, tax_year, transaction_date, income_source, deduction_type, state, "
+    + ", ".join(f"CAST({m} AS DOUBLE) AS {m}" for m in MEASURES) + " FROM tax_records",
+    "ingest_two_loads": "SELECT id, text FROM summary_chunks",
     "vector_blocks": """
 SELECT qid, '[Semantic Search Results]' || string_agg(chr(10) || '[' || rank || '] ' || source || ' — relevance: '
   || format('{:.2f}', score) || chr(10) || text || chr(10), '' ORDER BY rank) AS block
@@ -467,6 +505,7 @@ FROM t_hits JOIN text_corpus USING (id) WHERE score >= 0.25 GROUP BY qid""",
     "question_routes": "SELECT qid, route, graph_block FROM valid JOIN routed USING (message)",
     "graph_blocks": "SELECT route, key, block FROM graph_blocks",
     "hybrid_context": "SELECT qid, route, context, n_hits, graph_used, context_chunks FROM contexts",
+    "hybrid_context_dense": "SELECT qid, route, context, n_hits, graph_used, context_chunks FROM d_contexts",
     "answer_sources": """
 SELECT v.qid, CAST(rank - 1 AS INTEGER) AS pos, source, page, CAST(slide AS INTEGER) AS slide, score, source_type
 FROM valid v JOIN hit_rows h ON v.message = h.message WHERE rank <= least(5, n_results)""",
@@ -480,8 +519,10 @@ SELECT category, count(*) AS items, CAST(sum(CAST(passed AS INTEGER)) AS BIGINT)
   CAST(sum(CAST(passed AS INTEGER)) AS DOUBLE) / count(*) AS pass_rate FROM verdicts GROUP BY 1""",
     "stream_ingest": "SELECT id, text, source, source_type FROM record_chunks",
 }
-PARTS["t_all"] = """
-SELECT s.qid, s.id, round(dot / qnorm / norm, 4) AS score FROM t_scores s JOIN t_norm USING (id) JOIN t_qn USING (qid)"""
+for _prefix in ("t", "m"):
+    PARTS[f"{_prefix}_all"] = f"""
+SELECT s.qid, s.id, round(dot / qnorm / norm, 4) AS score
+FROM {_prefix}_scores s JOIN {_prefix}_norm USING (id) JOIN {_prefix}_qn USING (qid)"""
 
 
 def oracle_sql() -> dict[str, str]:

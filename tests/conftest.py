@@ -19,17 +19,10 @@ def sf():
     return "/root/testdata/sf0.001"
 
 
-RECORD_CSV = """Taxpayer Type,Tax Year,Transaction Date,Income Source,Deduction Type,State,Income,Deductions,Taxable Income,Tax Rate,Tax Owed
-Individual,2020,2020-03-15,Salary,Mortgage Interest,CA,150000,20000,130000,0.22,28600
-Corporation,2021,2021-06-01,Business Income,Business Expenses,TX,500000,75000,425000,0.28,119000
-Partnership,2022,2022-04-10,Investment,Education Expenses,NY,300000,45000,255000,0.25,63750
-Trust,2022,2022-07-22,Capital Gains,Medical Expenses,FL,200000,30000,170000,0.20,34000
-Non-Profit,2023,2023-01-30,Royalties,Charitable Contributions,IL,450000,60000,390000,0.18,70200
-"""
-
-
 @pytest.fixture
 def record_file(tmp_path):
+    from samples import RECORD_CSV
+
     path = tmp_path / "records.csv"
     path.write_text(RECORD_CSV)
     return str(path)

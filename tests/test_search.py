@@ -61,13 +61,22 @@ def test_string_ids_and_empty_sides(spark):
     assert found(search.vector_topk(corpus, asked.where("false"), 9)) == []
 
 
-def test_approximate_search_recalls_most_neighbours(vectors, queries):
-    exact = {(q, i) for q, _, i, _ in found(search.vector_topk(vectors, queries, 8))}
-    cells = search.Cells.train(vectors, 16)
-    near = found(search.ann_topk(vectors, queries, cells, 12, 8))
-    assert len(exact & {(q, i) for q, _, i, _ in near}) / len(exact) >= 0.9
-    assert found(search.ann_topk(vectors, queries, cells, 16, 8)) == found(search.vector_topk(vectors, queries, 8))
-    assert found(search.ann_topk(vectors, queries, cells, 12, 8, limit=200)) == near
+@pytest.mark.parametrize("limit", [100, 1])
+def test_vectors_of_unequal_length_are_an_error(spark, limit):
+    corpus = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0, 3.0, 4.0]), (3, [0.0, 1.0])], "id long, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0])], "qid long, embedding array<double>")
+    with pytest.raises(Exception, match="vector of 4 entries, queries have 2"):
+        search.vector_topk(corpus, asked, 2, limit).collect()
+    with pytest.raises(Exception, match="unequal lengths"):
+        search.vector_topk(corpus.limit(1), corpus.withColumnRenamed("id", "qid"), 2).collect()
+
+
+def test_merged_hits_keep_the_better_score(spark):
+    schema = "qid long, id string, score double, rank int"
+    one = spark.createDataFrame([(1, "a", 0.9, 1), (1, "b", 0.5, 2), (2, "x", 0.3, 1)], schema)
+    two = spark.createDataFrame([(1, "b", 0.9, 1), (1, "c", 0.7, 2), (1, "a", 0.1, 3), (3, "y", 0.2, 1)], schema)
+    got = sorted((r.qid, r["rank"], r.id, r.score) for r in search.merged_hits(one, two, k=2).collect())
+    assert got == [(1, 1, "a", 0.9), (1, 2, "b", 0.9), (2, 1, "x", 0.3), (3, 1, "y", 0.2)]
 
 
 def tokens(text):
