@@ -135,6 +135,7 @@ class VectorIndex:
         placed.select("id", "code", "step", "loss", "part", "cell").repartition("cell", "part").write.partitionBy("cell").parquet(f"{path}/codes")
         placed.select("id", "unit", "cell").repartition("cell", F.pmod(F.xxhash64("id"), F.lit(16))).write.partitionBy("cell").parquet(f"{path}/vectors")
         sizes.write.parquet(f"{path}/cells")
+        placed.select("id").limit(0).write.parquet(f"{path}/ids")  # the type of the ids, also where there are none
         return cls(spark, path, centres)
 
     def probed(self, queries: DataFrame, n_probes: int) -> DataFrame:
@@ -157,8 +158,10 @@ class VectorIndex:
         """(qid, id, score, rank): the best k vectors of the probed cells, by cosine rounded to four digits, then id."""
         asked = materialize(self.probed(queries, n_probes), "probed")
         touched = [r["cell"] for r in asked.select("cell").distinct().collect()]  # at most the number of centres
-        codes = self.spark.read.parquet(f"{self.path}/codes").where(F.col("cell").isin(touched))
-        vectors = self.spark.read.parquet(f"{self.path}/vectors").where(F.col("cell").isin(touched))
+        key = self.spark.read.parquet(f"{self.path}/ids").schema["id"].dataType.simpleString()
+        in_cells = F.col("cell").isin(touched)
+        codes = self.spark.read.schema(f"id {key}, code binary, step double, loss double, part int, cell int").parquet(f"{self.path}/codes").where(in_cells)
+        vectors = self.spark.read.schema(f"id {key}, unit array<double>, cell int").parquet(f"{self.path}/vectors").where(in_cells)
         cells = self.spark.read.parquet(f"{self.path}/cells")
 
         blocks = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("blocks"))
