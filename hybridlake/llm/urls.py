@@ -8,6 +8,8 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from hybridlake.llm.texts import fresh
+
 #: Rules of one trie; a longer list is matched trie by trie, each broadcast, and the longest match of all is kept.
 RULES_PER_TRIE = 200_000
 DEFAULT_VERDICT = "allow"
@@ -140,10 +142,11 @@ def judged(pages: DataFrame, rules: Sequence[Rule], url: str = "url", default: s
     names = [c for c in cut.columns if c not in ("host", "path")]
     if not rules:
         return cut.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    found = cut.select(*names, "host", "path", matched(pages.sparkSession, F.col("host"), F.col("path"), rules).alias("found_rule"))
+    best = fresh(cut, "found_rule")
+    found = cut.withColumn(best, matched(pages.sparkSession, F.col("host"), F.col("path"), rules))
     return found.select(
-        *names, "host", "path", F.col("found_rule.rule").alias("rule"),
-        F.coalesce("found_rule.verdict", F.lit(default)).alias("verdict"))
+        *names, "host", "path", F.col(best)["rule"].alias("rule"),
+        F.coalesce(F.col(best)["verdict"], F.lit(default)).alias("verdict"))
 
 
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:
