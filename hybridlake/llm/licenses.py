@@ -59,11 +59,16 @@ def identifier(name: str) -> Terms:
         label = "-".join(parts[:n])
         if label in FREEDOM:
             return Terms(FREEDOM[label], frozenset([label]))
-    return Terms(UNKNOWN, frozenset([f"other:{name[:40]}"]))
+    return Terms(UNKNOWN, frozenset([f"other:{name}"]))
 
 
 def evaluate(expression: str) -> Terms | None:
-    """Value of a licence expression by two stacks; ``with`` binds before ``and``, ``and`` before ``or``.
+    """Value of a licence expression; None if there is none."""
+    return parse(expression, 0, len(expression))[0]
+
+
+def parse(text: str, start: int, stop: int) -> tuple[Terms | None, int]:
+    """Value and end of the licence expression that ``text[start:stop]`` begins with, by two stacks; ``with`` binds before ``and``, ``and`` before ``or``.
 
     ``or`` leaves the choice of the freer side, ``and`` binds to the stricter, ``with`` eases what it follows. Reading
     ends where the text can no longer be an expression; what was read up to there counts. None if nothing was.
@@ -81,7 +86,9 @@ def evaluate(expression: str) -> Terms | None:
             pick = max if name == "or" else min
             values.append(Terms(pick(left.freedom, right.freedom), left.labels | right.labels))
 
-    for token in TOKEN.findall(expression):
+    end = start
+    for found in TOKEN.finditer(text, start, stop):  # the rest is not read after a break
+        token = found[0]
         if token == "(":
             if not operand:
                 break
@@ -104,6 +111,7 @@ def evaluate(expression: str) -> Terms | None:
             operand = False
         else:
             break
+        end = found.end()
     if operand and operators and operators[-1] != "(":  # an operator that nothing follows
         operators.pop()
     while operators:
@@ -113,7 +121,7 @@ def evaluate(expression: str) -> Terms | None:
             break
         else:
             apply()
-    return values[-1] if values else None
+    return (values[-1] if values else None), end
 
 
 class Scanner:
@@ -142,14 +150,16 @@ class Scanner:
         terms = [identifier(label).freedom for label in labels]
         expressions: list[str] = []
         lowered = text.lower() if " license identifier " in line or "expression " in line else ""
+        stop = -1
         for end, _ in self.tags.iter(lowered):
-            stop = lowered.find("\n", end)
-            expression = lowered[end + 1:stop if stop >= 0 else len(lowered)]
-            value = evaluate(expression)
+            if stop <= end:
+                stop = lowered.find("\n", end)
+                stop = len(lowered) if stop < 0 else stop
+            value, to = parse(lowered, end + 1, stop)
             if value is not None:
                 labels |= value.labels
                 terms.append(value.freedom)
-                expressions.append(expression.strip())
+                expressions.append(lowered[end + 1:to].strip())
         first = line.count(" ", 0, min(places)) if places else None
         last = line.count(" ", 0, max(places)) if places else None
         return (len(found), len(places), first, last, ",".join(sorted(base)), ",".join(sorted(labels)),
@@ -165,7 +175,9 @@ def scanned(text: Column | str, phrases: dict[str, str] | None = None) -> Column
     (least of all notices and expressions found) and the expressions behind identifier tags.
 
     NULL and empty texts have no words, no labels and the score of unlicensed texts. Phrases count wherever their words
-    stand consecutively, overlapping places too. Texts are read whole, whatever their length.
+    stand consecutively, overlapping places too. Texts are read whole, whatever their length; an expression ends with its
+    line, or before it where the words are none. Each row is scanned by itself: repeated rows agree, an empty table gives
+    none, and other columns are left as they are.
     """
     known = NOTICES if phrases is None else phrases
 

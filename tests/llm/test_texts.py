@@ -115,6 +115,18 @@ def test_tag_in_a_text(spark):
     assert r["expressions"] == ["(mit or apache-2.0) and cc-by-4.0"]
 
 
+def test_long_identifiers_stay_apart():
+    name = "a-rather-long-identifier-of-more-than-forty-characters"
+    assert licenses.evaluate(f"{name}-1 and {name}-2").labels == {f"other:{name}-1", f"other:{name}-2"}
+
+
+def test_many_tags_in_one_long_line(spark):
+    text = "spdx-license-identifier: mit and then prose " * 20_000 + "spdx-license-identifier: gpl-3.0"
+    r = spark.createDataFrame([(text,)], "text string").select(licenses.scanned("text").alias("f")).select("f.*").first()
+    assert r["labels"] == "gpl,mit,other:then" and len(r["expressions"]) == 20_001
+    assert set(r["expressions"]) == {"mit and then", "gpl-3.0"}
+
+
 # --- urls -------------------------------------------------------------------------------
 RULES = [("block", "net", "/"), ("allow", "a.net", "/en/"), ("block", "a.net", "/en/x"), ("allow", "b.net", ""), ("block", "b.net", "")]
 URLS = ["http://a.net/en/xy", "http://A.NET/en/y?q", "http://z.a.net/en", "http://a.net", "http://ba.net/en/x", "b.net/x", None, "",
@@ -142,6 +154,12 @@ def test_urls_equal_plain_loops(spark, monkeypatch, size):
     assert {r["verdict"] for r in urls.judged(pages, []).collect()} == {"allow"}
 
 
+def test_urls_beside_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, URLS[0], "x", 2)], "page_id long, url string, FOUND_RULE string, labels int")
+    r = urls.judged(pages, RULES).first()
+    assert (r["FOUND_RULE"], r["labels"], r["rule"], r["verdict"]) == ("x", 2, "a.net/en/x", "block")
+
+
 def test_bad_rules():
     with pytest.raises(ValueError):
         urls.rule_trie([("deny", "a", "/")])
