@@ -139,6 +139,23 @@ def stream_ingest(spark, d):
     return store.ChunkStore(spark, sink).read().select("id", "text", "source", "source_type")
 
 
+def stream_raw_files(spark, d):
+    """Two deliveries of raw record, page and slide files, each followed by one run; then a run without news."""
+    incoming, state = work_dir(spark, "raw"), work_dir(spark, "raw-state")
+    lake = ingest.Lake(spark, work_dir(spark, "lake"))
+    rows, pages, slides = fx.tax_records(spark, d), fx.doc_pages(spark, d), fx.slide_paragraphs(spark, d)
+    titles = list(RECORD_FILE_COLUMNS)
+    late = F.coalesce(F.col("tax_year") > 2018, F.lit(False))
+    second = F.xxhash64("filename") % 2 != 0
+    for name, columns, years, files in (("first", titles, ~late, ~second), ("second", titles[::-1], late, second)):
+        fx.write_record_files(rows.where(years), f"{incoming}/{name}/records", columns)
+        pages.where(files).write.json(f"{incoming}/{name}/pages")
+        slides.where(files).write.json(f"{incoming}/{name}/slides")
+        stream.run_files(spark, incoming, lake, state, skip_index=True, skip_graph=True)
+    stream.run_files(spark, incoming, lake, state, skip_index=True, skip_graph=True)
+    return lake.read_chunks().select("text", "source", "source_type")
+
+
 # --- summaries and graph ---------------------------------------------------
 def summary(*groups: str) -> Query:
     def query(spark, d):
@@ -318,7 +335,7 @@ def queries() -> dict[str, Query]:
             "id", "category", F.array_join("missing", " ").alias("missing"), "passed"
         ),
         "eval_by_category": lambda s, d: evaluate.pass_rates(eval_verdicts(s, d)),
-        "stream_ingest": stream_ingest,
+        "stream_ingest": stream_ingest, "stream_raw_files": stream_raw_files,
         **({**llm.QUERIES, "pipeline": corpus_pipeline.run} if llm else {}),
     }
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hybridlake.operators import graph
+from hybridlake.operators.joins import HOT_KEYS, hot_key_join
 from hybridlake.schemas import CHUNK
 from hybridlake.session import work_dir
 
@@ -29,8 +30,19 @@ def first_of_id(chunks: DataFrame) -> DataFrame:
 
 
 def new_chunks(chunks: DataFrame, existing: DataFrame) -> DataFrame:
-    """Chunks whose id is not stored yet; only the id column of the store is read. A chunk without an id is none."""
-    return first_of_id(chunks.where(F.col("id").isNotNull())).join(existing.select("id"), "id", "left_anti")
+    """Chunks whose id is not stored yet; only the id column of the store is read. A chunk without an id is none.
+
+    Ids alone are counted and meet the stored ones; texts are read for the ids left over, and only those of repeated ids
+    are compared. The most frequent ids stay where they are, so copies are reduced before they are shuffled.
+    """
+    rows = chunks.where(F.col("id").isNotNull())
+    copies = rows.groupBy("id").agg(F.count(F.lit(1)).alias("_copies")).join(existing.select("id"), "id", "left_anti")
+    copies = materialize(copies, "new-ids")
+    once = rows.join(copies.where("_copies = 1").select("id"), "id", "left_semi").select(*chunks.columns)
+    many = copies.where("_copies > 1")
+    hot = many.orderBy(F.desc("_copies"), "id").limit(HOT_KEYS)
+    repeated = hot_key_join(rows, many, "id", hot, ["id"]).select(*chunks.columns)
+    return once.unionByName(first_of_id(repeated))
 
 
 class ChunkStore:
@@ -55,7 +67,10 @@ class ChunkStore:
 
     def add(self, chunks: DataFrame) -> None:
         """Append the chunks not stored yet; running it again adds nothing."""
-        new_chunks(chunks, self.read()).write.mode("append").parquet(self.path)
+        given = ChunkStore(self.spark, work_dir(self.spark, "incoming-chunks"))
+        chunks.write.mode("overwrite").parquet(given.path)
+        new_chunks(given.read(), self.read()).write.mode("append").parquet(self.path)
+        given.remove()
 
     def reset(self) -> None:
         """Empty the store."""

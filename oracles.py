@@ -518,6 +518,7 @@ SELECT qid, 'CONTEXT FROM KNOWLEDGE BASE:' || chr(10) || repeat('=', 60) || chr(
 SELECT category, count(*) AS items, CAST(sum(CAST(passed AS INTEGER)) AS BIGINT) AS passed,
   CAST(sum(CAST(passed AS INTEGER)) AS DOUBLE) / count(*) AS pass_rate FROM verdicts GROUP BY 1""",
     "stream_ingest": "SELECT id, text, source, source_type FROM record_chunks",
+    "stream_raw_files": "SELECT text, source, source_type FROM all_chunks",
 }
 for _prefix in ("t", "m"):
     PARTS[f"{_prefix}_all"] = f"""

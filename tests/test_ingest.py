@@ -233,6 +233,48 @@ def test_stream_equals_batch_and_keeps_the_first_value(spark, tmp_path, record_f
     assert sum(t == "later" for _, t in got) == 3
 
 
+def test_stream_of_raw_files_equals_batch(spark, tmp_path):
+    """Deliveries in several folders and batches, with a header order of its own, a bad file and a bad line."""
+    incoming, state = tmp_path / "incoming", str(tmp_path / "state")
+    incoming.mkdir()
+    write_data(incoming / "a")
+    lake = Lake(spark, str(tmp_path / "lake"))
+    stream.run_files(spark, str(incoming), lake, state, max_files=1)
+    first = rows_of(lake.read_chunks())
+    header, *lines = RECORD_CSV.strip().split("\n")
+    turned = [",".join(reversed(line.split(","))) for line in (header, "Trust,2021,2021-01-02,Salary,Rental,NV,5000,100,4900,0.2,980")]
+    (incoming / "b").mkdir()
+    (incoming / "b" / "turned.csv").write_text("\n".join(turned))
+    (incoming / "b" / "bad.csv").write_text("Tax Year\n2020\n")
+    (incoming / "b" / "note.txt").write_text("no data")
+    stream.run_files(spark, str(incoming), lake, state, max_files=2)
+    stream.run_files(spark, str(incoming), lake, state)
+    assert {r.file for r in lake.rejects.read().where("reason like 'missing columns%'").collect()} == {"bad.csv"}
+
+    batch = Lake(spark, str(tmp_path / "batch"))
+    ingest(spark, str(incoming / "a"), batch)
+    assert rows_of(batch.read_chunks()) == first
+    ingest(spark, str(incoming / "b"), batch, skip_bad_files=True)
+    assert rows_of(batch.read_chunks()) == rows_of(lake.read_chunks()) != first
+    assert rows_of(batch.rollup) == rows_of(lake.rollup)
+    assert lake.graph.node_count() == 6
+
+
+def test_sink_shuffles_ids_before_texts(spark, tmp_path):
+    """Texts meet only the table of new ids, and only those of repeated ids are aggregated."""
+    kept = store.ChunkStore(spark, str(tmp_path / "chunks"))
+    given = store.ChunkStore(spark, str(tmp_path / "given"))
+    spark.createDataFrame([chunk(f"k{i % 40}", str(i)) for i in range(60)], CHUNK).write.parquet(given.path)
+    kept.add(given.read())
+    assert kept.count() == 40
+    expected = {f"k{i}": min(str(n) for n in range(i, 60, 40)) for i in range(40)}
+    assert {r.id: r.text for r in kept.read().collect()} == expected
+    kept.add(given.read())
+    assert kept.count() == 40
+    plan = store.new_chunks(given.read(), kept.read())._jdf.queryExecution().optimizedPlan().toString()
+    assert str(tmp_path) not in plan and plan.count("Aggregate") == 1
+
+
 def test_work_dir_follows_the_session(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     assert work_dir(spark, "x").startswith(root) and work_dir(spark, "x") != work_dir(spark, "x")
