@@ -123,6 +123,45 @@ def test_text_search_against_a_model_on_every_path(texts, limits):
     assert found(search.text_topk(*texts, k=4, **limits)) == rounded(tfidf_model(CORPUS, ASKED, 4))
 
 
+def test_a_large_vocabulary_leaves_only_rows_that_can_be_hits(spark, monkeypatch):
+    """Every text holds words of its own and a rare word, some texts come twice, and few terms travel."""
+    word = lambda i, m: f"w{(i * i + 7 * i) % m}"
+    texts = {i: " ".join(["tax"] * (i % 3 + 1) + [word(i, 11), word(i + 1, 300), word(i // 2, 900)] + [f"own{i}x{j}" for j in range(i % 5)]) for i in range(1500)}
+    texts |= {2000 + i: texts[i] for i in range(0, 1500, 10)}
+    asked = {1: "tax w4", 2: "w30 w2 w2", 3: "own7x1 tax", 4: "w100"}
+    corpus = spark.createDataFrame(list(texts.items()), "id long, text string").repartition(5)
+    queries = spark.createDataFrame(list(asked.items()), "qid long, message string")
+    reached, reaching = [], search._reaching
+    monkeypatch.setattr(search, "_reaching", lambda *a: reached.append(reaching(*a)) or reached[-1], raising=False)
+    want = rounded(tfidf_model(texts, asked, 6))
+    for local_terms in (3, 100, 1000):
+        assert found(search.text_topk(corpus, queries, k=6, local_terms=local_terms)) == want
+    older = search.Vocabulary.build(corpus.where("id < 1200"))
+    known = found(search.text_topk(corpus, queries, older, k=6))
+    assert found(search.text_topk(corpus, queries, older, k=6, local_terms=100)) == known
+    assert len(reached) == 4 and reached[2].count() < 300
+
+
+def test_repeated_ids_are_rows_of_their_own_on_every_path(spark):
+    rows = [(1, "tax rate"), (1, "tax rate"), (2, "tax levy"), (3, "rate of tax and levy")]
+    corpus = spark.createDataFrame(rows, "id long, text string")
+    asked = spark.createDataFrame([(1, "tax rate")], "qid long, message string")
+    want = found(search.text_topk(corpus, asked, k=4))
+    assert found(search.text_topk(corpus, asked, k=4, local_terms=2)) == want
+
+
+def test_texts_of_hits_are_read_without_a_shuffle_of_the_corpus(spark, texts):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        corpus = texts[0].withColumn("metadata", F.create_map(F.lit("a"), F.lit("b")))
+        joined = search.attach(search.text_topk(*texts, k=2), corpus)
+        plan = joined._jdf.queryExecution().sparkPlan().toString()
+        assert re.search(r"BroadcastHashJoin.*LeftSemi", plan)
+        assert {(r.id, r.text) for r in joined.collect()} <= set(CORPUS.items())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_text_search_with_joins_that_cannot_broadcast(spark, texts):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
@@ -171,3 +210,11 @@ def test_hot_key_join_equals_a_plain_join(spark, how, broadcast):
         assert key(joined) == key(want)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_wide_values_of_hot_keys_are_not_shuffled(spark):
+    big = spark.range(100).select(F.col("id").alias("n"), F.lit("hot").alias("key"))
+    lookup = spark.createDataFrame([("hot", "x" * 1000)], "key string, v string")
+    joined = hot_key_join(big, lookup, "key", most_frequent(big, "key", 3), ["n"], "left", 3)
+    last = next(line for line in joined._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line)
+    assert "_near_key" in last and joined.where(F.length("v") == 1000).count() == 100
