@@ -307,3 +307,32 @@ def test_store_counts(spark):
 def test_missing_folder_of_records_is_an_error(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         load_records(spark, str(tmp_path / "x"))
+
+
+def test_chunks_of_records_are_made_for_new_records_alone(spark, tmp_path):
+    """The first load is written without a shuffle, a second one adds what is new, and a row without an id is none."""
+    rows = spark.createDataFrame([(str(i), f"text {i}") for i in range(20)] + [(None, "lost")], "id string, text string")
+    made = []
+
+    def chunks_of(new):
+        made.append(new)
+        return new.select(
+            F.concat(F.lit("c"), "id").alias("id"), "text", F.lit("s").alias("source"), F.lit("t").alias("source_type"),
+            F.create_map(F.lit("a"), F.lit("b")).alias("metadata"))
+
+    kept, name = store.ChunkStore(spark, str(tmp_path / "made")), F.concat(F.lit("c"), "id")
+    kept.add_made(rows.where("id < 15 or id is null"), chunks_of, name)
+    assert "Exchange" not in made[0]._jdf.queryExecution().sparkPlan().toString() and kept.count() == 15
+    for _ in range(2):
+        kept.add_made(rows, chunks_of, name)
+    assert sorted(r.id for r in kept.read().collect()) == sorted(f"c{i}" for i in range(20))
+
+
+def test_a_load_of_records_writes_no_chunk_aside(spark, tmp_path, record_file, monkeypatch):
+    import shutil
+
+    (tmp_path / "data").mkdir()
+    shutil.copy(record_file, tmp_path / "data" / "r.csv")
+    monkeypatch.setattr(store.ChunkStore, "add", lambda *a: pytest.fail("the texts of records were written aside"))
+    lake = Lake(spark, str(tmp_path / "lake"))
+    assert ingest(spark, str(tmp_path / "data"), lake, skip_index=True, skip_graph=True)["documents"] > 0
