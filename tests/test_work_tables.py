@@ -68,6 +68,13 @@ def test_a_load_leaves_no_work_tables(spark, tmp_path, left):
     assert lake.chunks.count() == 5 + 2 + 2 + 1 and left() == []
 
 
+def test_all_chunks_join_the_records_once(spark, tables, left):
+    got = entry.all_chunks(spark, tables)
+    assert not any("lineitem" in f or "clean-pages" in f for f in got.inputFiles())
+    assert left() == ["page-chunks", "rollup", "tax-records"]
+    assert rows_of(got) == rows_of(entry.all_chunks_of(spark, tables).select(*got.columns))
+
+
 def test_written_tables_free_their_shuffles_and_serve_again(spark, tmp_path):
     counted = spark.range(100).groupBy((F.col("id") % 7).alias("k")).count()
     before = spark.conf.get(store._FREE)
