@@ -75,6 +75,13 @@ def test_all_chunks_join_the_records_once(spark, tables, left):
     assert rows_of(got) == rows_of(entry.all_chunks_of(spark, tables).select(*got.columns))
 
 
+def test_stored_chunks_leave_what_they_were_made_of(spark, tables, left):
+    stored, rollup = entry._stored_chunks(spark, tables)
+    assert left() == ["chunks", "rollup"]
+    assert rows_of(stored.drop("metadata")) == rows_of(entry.all_chunks_of(spark, tables).drop("metadata"))
+    assert rows_of(rollup) == rows_of(entry.record_rollup(entry.fx.tax_records(spark, tables)))
+
+
 def test_written_tables_free_their_shuffles_and_serve_again(spark, tmp_path):
     counted = spark.range(100).groupBy((F.col("id") % 7).alias("k")).count()
     before = spark.conf.get(store._FREE)
