@@ -68,6 +68,18 @@ def test_a_load_leaves_no_work_tables(spark, tmp_path, left):
     assert lake.chunks.count() == 5 + 2 + 2 + 1 and left() == []
 
 
+def test_packed_files_are_taken_in(spark, tmp_path):
+    plain, packed = Lake(spark, str(tmp_path / "a")), Lake(spark, str(tmp_path / "b"))
+    ingest(spark, write_data(tmp_path / "data"), plain)
+    write_data(tmp_path / "in")
+    for path in glob.glob(str(tmp_path / "in" / "**" / "*.*"), recursive=True):
+        with open(path, "rb") as text, gzip.open(f"{path}.gz", "wb") as out:
+            out.write(text.read())
+        os.remove(path)
+    stream.run_files(spark, str(tmp_path / "in"), packed, str(tmp_path / "state"), skip_index=True)
+    assert rows_of(packed.read_chunks()) == rows_of(plain.read_chunks()) != []
+
+
 def test_all_chunks_join_the_records_once(spark, tables, left):
     got = entry.all_chunks(spark, tables)
     assert not any("lineitem" in f or "clean-pages" in f for f in got.inputFiles())
@@ -82,6 +94,15 @@ def test_stored_chunks_leave_what_they_were_made_of(spark, tables, left):
     assert rows_of(rollup) == rows_of(entry.record_rollup(entry.fx.tax_records(spark, tables)))
 
 
+def test_stream_queries_keep_only_what_arrived_and_what_was_made(spark, tables, left):
+    got = entry.stream_ingest(spark, tables)
+    assert left() == ["incoming", "sink", "state"]
+    whole = records.record_chunks(entry.fx.tax_records(spark, tables)).select(*got.columns)
+    assert rows_of(got) == rows_of(whole)
+    got = entry.stream_raw_files(spark, tables)
+    assert left() == ["incoming", "lake", "raw", "raw-state", "sink", "state"] and got.where("source_type = 'csv'").count() == 20
+
+
 def test_written_tables_free_their_shuffles_and_serve_again(spark, tmp_path):
     counted = spark.range(100).groupBy((F.col("id") % 7).alias("k")).count()
     before = spark.conf.get(store._FREE)
